@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import BROADCAST_ROWS
 from ..queries.base import table
+from . import formatting as D
+from . import packing as K
 from . import percentiles as P
+from . import splits as S
 
 FEATURES = {"observation.state": True, "action": True, "observation.effort": False}
 
@@ -48,6 +52,72 @@ def p2_combined(spark: SparkSession, d: str) -> DataFrame:
     return found.select("repo_id", *P.series_columns(list(FEATURES)), "n", *[c for c in found.columns if c.startswith("q")], "rank_error")
 
 
+IDS = ("operator_id", "session_id", "scene_id")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    edges = S.links(table(spark, d, "episodes"), "episode_index", IDS, "parent_episode_index")
+    found = S.components(edges)
+    return found.select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"))
+
+
+def p1_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every episode; linked episodes are in the same one."""
+    shares = S.shares_of(table(spark, d, "dataset_info"), "repo_id", "splits")
+    episodes = table(spark, d, "episodes").withColumn("w", F.lit(1))
+    found = S.split_records(episodes, "episode_index", IDS, "parent_episode_index", "repo_id", "w", shares)
+    return found.select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"), "split", "status")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = D.duplicate_members(table(spark, d, "tasks"), "task_index", "task")
+    return found.select(F.col("first_key").alias("task_index_a"), F.col("key").alias("task_index_b"))
+
+
+def p3_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct instruction once, with the number of its copies."""
+    found = D.duplicate_groups(table(spark, d, "tasks"), "task_index", "task")
+    return found.select(F.col("first_key").alias("task_index"), F.col("text").alias("task"), "n_copies")
+
+
+def _containers(spark: SparkSession, d: str) -> DataFrame:
+    """The episodes of every repo in data files and video files."""
+    e = table(spark, d, "episodes").where(F.col("deleted_at").isNull() & F.col("episode_index").isNotNull())
+    e = e.select("repo_id", "episode_index", "length", "data_mb", "video_mb").distinct()
+    e = e.groupBy("repo_id", "episode_index").agg(F.max("length").alias("length"), F.max("data_mb").alias("data_mb"), F.max("video_mb").alias("video_mb"))
+    info = table(spark, d, "dataset_info").groupBy(F.col("repo_id").alias("r")).agg(
+        F.max("data_files_size_in_mb").alias("data_limit"), F.max("video_files_size_in_mb").alias("video_limit"), F.max("chunks_size").alias("chunks_size")
+    )
+    if info.count() <= BROADCAST_ROWS:
+        info = F.broadcast(info)
+    rows = e.join(info, F.col("repo_id") == F.col("r"), "left")
+    limit = lambda c, default: F.when(F.col(c) > 0, F.col(c)).otherwise(default)
+    kinds = F.array(
+        F.struct(F.lit("data").alias("kind"), F.col("data_mb").alias("size"), limit("data_limit", 100).cast("double").alias("capacity")),
+        F.struct(F.lit("video").alias("kind"), F.col("video_mb").alias("size"), limit("video_limit", 200).cast("double").alias("capacity")),
+    )
+    items = rows.select(F.col("repo_id").alias("grp"), F.col("episode_index").alias("item"), "length", F.inline(kinds))
+    return K.pack(items)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    over = _containers(spark, d).where(F.col("n_pieces") > 1)
+    return over.select(F.col("item").alias("episode_index"), F.col("kind").alias("container")).distinct()
+
+
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """File and chunk of every episode, or of its pieces, with the file's fill."""
+    chunks = table(spark, d, "dataset_info").groupBy(F.col("repo_id").alias("r")).agg(F.max("chunks_size").alias("cs"))
+    if chunks.count() <= BROADCAST_ROWS:
+        chunks = F.broadcast(chunks)
+    size = F.when(F.col("cs") > 0, F.col("cs")).otherwise(1000)
+    found = _containers(spark, d).join(chunks, F.col("grp") == F.col("r"), "left")
+    return found.select(
+        F.col("grp").alias("repo_id"), F.col("kind").alias("container"), F.floor(F.col("container") / size).cast("bigint").alias("chunk_index"),
+        (F.col("container") % size).cast("bigint").alias("file_index"), F.col("item").alias("episode_index"), "piece", "n_pieces", F.round("size", 6).alias("size_mb"), F.round("fill", 6).alias("fill"),
+    )
+
+
 _VALUES = """
 WITH f AS (SELECT DISTINCT "index" AS i, episode_index, repo_id, recorded_at, "observation.state" AS s, action AS a, "observation.effort" AS e FROM frames),
 u AS (SELECT episode_index, repo_id, CAST(recorded_at AS DATE) AS "day", 'observation.state' AS feature, g AS dim, CAST(s[g + 1] AS DOUBLE) AS x FROM f, (SELECT unnest(range(0, 64)) AS g) WHERE g < len(s)
@@ -56,8 +126,38 @@ UNION ALL SELECT episode_index, repo_id, CAST(recorded_at AS DATE), 'observation
 v AS (SELECT episode_index, repo_id, "day", feature, CAST(dim AS INT) AS dim, CASE WHEN isnan(x) OR isinf(x) THEN 0 ELSE x END AS x FROM u WHERE x IS NOT NULL)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_daily": p2_daily, "p2_combined": p2_combined}
+_P1 = """
+WITH RECURSIVE e AS (SELECT DISTINCT episode_index AS n, parent_episode_index AS p, lower(regexp_replace(operator_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS a, lower(regexp_replace(session_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS b, lower(regexp_replace(scene_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS c FROM episodes WHERE episode_index IS NOT NULL),
+k AS (SELECT n, 1 AS t, a AS v FROM e UNION SELECT n, 2, b FROM e UNION SELECT n, 3, c FROM e),
+h AS (SELECT * FROM k WHERE v NOT IN ('', 'unknown', 'n/a', '-')),
+l AS (SELECT x.n AS u, y.n AS v FROM h x JOIN h y ON x.t = y.t AND x.v = y.v WHERE x.n <> y.n
+ UNION SELECT x.n, x.p FROM e x JOIN e y ON x.p = y.n WHERE x.n <> x.p
+ UNION SELECT x.p, x.n FROM e x JOIN e y ON x.p = y.n WHERE x.n <> x.p),
+r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
+SELECT u AS episode_index, least(u, min(v)) AS group_episode_index FROM r GROUP BY u
+"""
+_P7 = """
+SELECT DISTINCT episode_index, c AS container FROM (
+ SELECT e.episode_index, 'data' AS c, data_mb AS s, CASE WHEN data_files_size_in_mb > 0 THEN data_files_size_in_mb ELSE 100 END AS m FROM episodes e LEFT JOIN dataset_info i USING (repo_id) WHERE e.deleted_at IS NULL
+ UNION ALL
+ SELECT e.episode_index, 'video', video_mb, CASE WHEN video_files_size_in_mb > 0 THEN video_files_size_in_mb ELSE 200 END FROM episodes e LEFT JOIN dataset_info i USING (repo_id) WHERE e.deleted_at IS NULL)
+WHERE s > m
+"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_splits": p1_splits,
+    "p2_found": p2_found,
+    "p2_daily": p2_daily,
+    "p2_combined": p2_combined,
+    "p3_found": p3_found,
+    "p3_copies": p3_copies,
+    "p7_found": p7_found,
+    "p7_files": p7_files,
+}
 SQL = {
+    "p1_found": _P1,
+    "p7_found": _P7,
     "p2_found": _VALUES
     + """, j AS (SELECT s.episode_index, s.feature, s.dim, s.q10, s.q50, s.q90, count(*) AS n,
  count(*) FILTER (x < q10) AS b10, count(*) FILTER (x <= q10) AS a10, count(*) FILTER (x < q50) AS b50, count(*) FILTER (x <= q50) AS a50, count(*) FILTER (x < q90) AS b90, count(*) FILTER (x <= q90) AS a90
