@@ -147,7 +147,9 @@ class _Doc:
     def passage(self, item: Item, a: int, w: int, begin: int) -> tuple[int, int, int, int]:
         """(words or 0, from, to, end of the exact run) around a seed."""
         words, n = item.words, len(item.words)
-        most = n // TOLERANCE
+        # a passage of twice the least size has a half with as few changes for
+        # its size, so that changes beyond those of a shorter one need no look
+        most = min(n, 2 * (MIN_CHARS if item.chars else MIN_WORDS) + 1) // TOLERANCE
         i, p = a + w, begin + sum(map(len, words[a : a + w]))
         right, run_end = self._extend(words, i, p, most, item.chars, 1)
         left, _ = self._extend(words, a, begin, most, item.chars, -1)
