@@ -213,9 +213,6 @@ class _Doc:
         return far, first[1]
 
 
-_SCHEMA = "item_id bigint, words int, start_pos bigint, end_pos bigint"
-
-
 def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, *, block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """Columns item_id, doc_id, words, start_pos, end_pos of leaked passages.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..queries.base import table
 from . import leakage as L
+from . import sentences as S
 from . import tokenize as T
 
 
@@ -35,5 +36,14 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).distinct()
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_passages": p9_passages}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return S.sentence_units(table(spark, d, "documents"), "doc_id", "text", "lang", with_text=False).select("doc_id", "end_pos")
+
+
+def p10_units(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units themselves, numbered in each document."""
+    return S.sentence_units(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+QUERIES = {"p10_found": p10_found, "p10_units": p10_units, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_passages": p9_passages}
 SQL: dict[str, str] = {}

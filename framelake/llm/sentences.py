@@ -347,7 +347,6 @@ class Segmenter:
         return out
 
 
-_SCHEMA = "doc_id bigint, start_pos bigint, end_pos bigint, unit string"
 _shared: list[Segmenter] = []
 
 
