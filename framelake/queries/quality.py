@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import compaction as C
+from ..operators import drift as D
 from ..operators import references as R
+from ..operators.common import checkpoint_dir
 from .base import table
 
 
@@ -41,6 +47,54 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return R.orphan_counts(orphans, "row_key", ["table_name", "field", "month", "reason"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = D.snapshot_changes(table(spark, d, "info_snapshots"), "stream_id", "revision", "info")
+    return found.select(F.col("stream").alias("stream_id"), "revision", "field", "change_kind", "new_field")
+
+
+def p5_unified(spark: SparkSession, d: str) -> DataFrame:
+    """All readable snapshots in one table of consistent columns."""
+    return D.unified_records(table(spark, d, "info_snapshots"), "stream_id", "revision", "info")
+
+
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    steps = C.staged_steps(table(spark, d, "staged_files"))
+    return C.cluster(C.deduplicate_steps(steps, "file_id", "written_at"), "episode_index", "frame_index")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _clustered(spark, d).where("several").select("episode_index", "frame_index")
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    info = table(spark, d, "dataset_info").groupBy("repo_id").agg(F.max("data_files_size_in_mb").alias("limit_mb"), F.max("chunks_size").alias("chunks_size"), F.max("data_path").alias("template"))
+    placed = C.assign_files(_clustered(spark, d), info.select("repo_id", "limit_mb", "chunks_size"))
+    named = placed.join(info.select("repo_id", "template"), "repo_id", "left")
+    path = C.fill_template(F.col("template"), F.col("chunk_index"), F.col("file_index"), F.col("file"))
+    return named.withColumn("path", F.concat_ws("/", "repo_id", path)).drop("template")
+
+
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files that hold every step once: place, size and row digest."""
+    return C.digest(_placed(spark, d), ["repo_id", "chunk_index", "file_index", "path"])
+
+
+def p6_written(spark: SparkSession, d: str) -> DataFrame:
+    """Writes the files to the shared folder and compares the row digests of
+    what was planned with those of what is read back."""
+    placed = _placed(spark, d)
+    root = os.path.join(checkpoint_dir(spark).removeprefix("file:"), f"compacted-{uuid.uuid4().hex}")
+    C.write_files(placed, root).agg(F.sum("n_written")).collect()
+    back = spark.read.option("recursiveFileLookup", "true").schema("episode_index bigint, frame_index bigint, repo_id string, step string").parquet(root)
+    wanted = C.digest(placed, ["repo_id"])
+    held = C.digest(back, ["repo_id"]).select("repo_id", *[F.col(c).alias(f"{c}_read") for c in ("n_steps", "size_bytes", "digest_xor", "digest_sum")])
+    both = wanted.join(held, "repo_id", "left")
+    same = F.lit(True)
+    for c in ("n_steps", "size_bytes", "digest_xor", "digest_sum"):
+        same = same & F.coalesce(F.col(c) == F.col(f"{c}_read"), F.lit(False))
+    return both.select("repo_id", "n_steps", "size_bytes", same.alias("same"))
+
+
 _P4 = """
 WITH t AS (SELECT task_index AS k, bool_and(deleted_at IS NOT NULL) AS gone, coalesce(min(ingested_at) FILTER (deleted_at IS NULL), min(ingested_at)) AS since FROM tasks WHERE task_index IS NOT NULL GROUP BY 1),
 e AS (SELECT episode_index AS k, bool_and(deleted_at IS NOT NULL) AS gone, coalesce(min(ingested_at) FILTER (deleted_at IS NULL), min(ingested_at)) AS since FROM episodes WHERE episode_index IS NOT NULL GROUP BY 1),
@@ -53,8 +107,22 @@ UNION
 SELECT 'episodes', 'data/file_index', episode_index, recorded_at, CASE WHEN f.k IS NULL THEN 'missing' WHEN gone THEN 'deleted' WHEN since > a.ingested_at THEN 'late' END FROM episodes a LEFT JOIN f ON a.repo_id = f.r AND a."data/chunk_index" = f.c AND a."data/file_index" = f.k WHERE a."data/file_index" IS NOT NULL)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts}
+_STEPS = """
+WITH l AS (SELECT file_id, repo_id, regexp_extract(unnest(string_split(body, chr(10))), '\\{.*\\}') AS j FROM staged_files WHERE body IS NOT NULL),
+s AS (SELECT file_id, CAST(TRY_CAST(trim(json_extract_string(j, '$.episode_index')) AS DOUBLE) AS BIGINT) AS episode_index, CAST(TRY_CAST(trim(json_extract_string(j, '$.frame_index')) AS DOUBLE) AS BIGINT) AS frame_index FROM l WHERE j <> '' AND json_valid(j))
+"""
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_counts": p4_counts,
+    "p5_found": p5_found,
+    "p5_unified": p5_unified,
+    "p6_found": p6_found,
+    "p6_files": p6_files,
+    "p6_written": p6_written,
+}
 SQL = {
+    "p6_found": _STEPS + "SELECT episode_index, frame_index FROM s WHERE episode_index IS NOT NULL AND frame_index IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT file_id) > 1",
     "p4_found": _P4 + "SELECT DISTINCT table_name, field, row_key, reason FROM o WHERE reason IS NOT NULL",
     "p4_counts": _P4 + "SELECT table_name, field, strftime(recorded_at, '%Y-%m') AS month, reason, count(DISTINCT row_key) AS n_orphans FROM o WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",
 }
