@@ -132,7 +132,7 @@ def differences(old: dict[str, tuple[str, str]], new: dict[str, tuple[str, str]]
         if match:
             to = match.pop(0)
             taken.add(to)
-            out.append((k, "renamed", to[9:] if k.startswith("features.") else to))
+            out.append((k, "renamed", to))
         else:
             out.append((k, "removed", ""))
     out += [(k, "added", "") for k in come if k not in taken]
