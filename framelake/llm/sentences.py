@@ -193,17 +193,20 @@ _SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("
 _ALIAS = {"eng": "en", "ger": "de", "deu": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "zho": "zh", "chi": "zh", "jpn": "ja", "hin": "hi", "tha": "th"}
 
 
-def language(text: str, declared: str | None) -> str:
-    """The language of the rules: by script, then by frequent words; what is
-    declared decides only between equals."""
-    if not text.isascii():
+_OTHER_SCRIPT = re.compile("[Ѐ-ӿऀ-ॿ฀-๿぀-ヿ一-鿿]")
+
+
+def language(text: str, declared: str | None) -> tuple[str, bool]:
+    """The language of the rules, and whether paragraphs may be in others: by
+    script, then by frequent words; what is declared decides between equals."""
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
         letters = sum(map(text.count, "aeinrt")) * 2
         for lang, pattern in _SCRIPTS:
             n = len(pattern.findall(text))
             if n and n * (2 if lang != "ja" else 6) > letters:
-                return lang
+                return lang, False
     said = re.split(r"[-_]", (declared or "").strip().lower())[0]
-    return frequent(text, _ALIAS.get(said, said))[0]
+    return frequent(text, _ALIAS.get(said, said))[:2]
 
 
 def frequent(text: str, said: str) -> tuple[str, bool, int]:
@@ -216,6 +219,21 @@ def frequent(text: str, said: str) -> tuple[str, bool, int]:
     return best, sum(counts.values()) - most > max(2, most // 6), most - counts[said]
 
 
+_UPPER = str.maketrans({**{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "a" for c in "bcdefghijklmnopqrstuvwxyz"}, **dict(zip("03456789", "22222222"))})
+
+
+def _context(lang: str, before: str, after: str) -> tuple[str, str]:
+    """What the rules can see of a position, with fewer values than the text.
+
+    A word longer than every abbreviation needs nothing before it; digits are
+    alike but for 1, which a scan may have read for l; and what follows counts
+    by letter case, except where rules know words (months, Russian letters).
+    """
+    token = before[-9:]
+    before = token if token[:-1].isalpha() and len(token) == 9 else before.translate(_DIGITS)
+    return before, after.translate(_DIGITS if lang == "de" else _UPPER)
+
+
 class Segmenter:
     """Compiled cascades and decisions already taken; one for each process."""
 
@@ -300,8 +318,8 @@ class Segmenter:
         non-space character."""
         if not text or text.isspace():
             return []
-        lang = whole = language(text, declared)
-        mixed = lang in _LATIN and frequent(text, lang)[1]
+        whole, mixed = language(text, declared)
+        lang = whole
         cuts, blocks = self.layout(text)
         for s, e in blocks:
             block = text[s:e]
@@ -320,8 +338,7 @@ class Segmenter:
                     before = block[max(0, spans[k][0] - 2) : p]
                 else:
                     before = block[max(0, p - 20) : p]
-                # the rules know digits only as such, but for 1, which may be an l
-                if self.decide(lang, before.translate(_DIGITS), block[p : p + 6].translate(_DIGITS)):
+                if self.decide(lang, *_context(lang, before, block[p : p + (12 if lang == "de" else 6)])):
                     cuts.append(s + p)
             if lang == "th":
                 cuts += [s + m.start() for m in _THAI.finditer(block)]
@@ -333,13 +350,14 @@ class Segmenter:
                 continue
             done = begin + len(unit)
             begin = p
-            body = unit.strip()
-            if _MARK.fullmatch(body):  # waits for its sentence
-                marked = done
-                continue
-            if not any(c.isalnum() for c in body) and out and all(unicodedata.category(c)[0] in "PZC" for c in body) and marked < 0:
-                out[-1] = done  # marks without a word belong to what is before
-                continue
+            if len(unit) < 16:
+                body = unit.strip()
+                if _MARK.fullmatch(body):  # waits for its sentence
+                    marked = done
+                    continue
+                if out and marked < 0 and all(unicodedata.category(c)[0] in "PZC" for c in body):
+                    out[-1] = done  # marks without a word belong to what is before
+                    continue
             out.append(done)
             marked = -1
         if marked >= 0:
