@@ -74,6 +74,7 @@ _QUOTES = re.compile(
     "“[^“”„\n]{0,400}?(?:\n[^“”„\n]{0,400}?)?”|„[^“”„\n]{0,400}?(?:\n[^“”„\n]{0,400}?)?[“”]|«[^«»\n]{0,400}?(?:\n[^«»\n]{0,400}?)?»|「[^「」]{0,400}」|『[^『』]{0,400}』|（[^（）]{0,400}）"
     + r"|(?<![\w\"])\"(?=[^\s\"])[^\"\n]{0,300}?(?:\r?\n[^\"\n]{0,300}?)?(?<=[^\s\"])\"(?!\w)"
 )
+_QUOTED = re.compile("[\"“„«「『（]")
 _MARK = re.compile(r"\[\s?\d{3,5}\s?\]")
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _BLANK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[^\S\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])\s*")
@@ -184,10 +185,10 @@ def rules_of(lang: str) -> list[Rule]:
 
 
 _LATIN = {
-    "en": (" the ", " of ", " and ", " is "),
-    "de": (" der ", " die ", " das ", " und "),
-    "fr": (" le ", " est ", " les ", " une "),
-    "es": (" el ", " los ", " una ", " mide "),
+    "en": (" the ", " of ", " is "),
+    "de": (" der ", " die ", " das "),
+    "fr": (" le ", " est ", " une "),
+    "es": (" el ", " los ", " mide "),
 }
 _SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")))
 _ALIAS = {"eng": "en", "ger": "de", "deu": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "zho": "zh", "chi": "zh", "jpn": "ja", "hin": "hi", "tha": "th"}
@@ -225,12 +226,13 @@ _UPPER = str.maketrans({**{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "
 def _context(lang: str, before: str, after: str) -> tuple[str, str]:
     """What the rules can see of a position, with fewer values than the text.
 
-    A word longer than every abbreviation needs nothing before it; digits are
-    alike but for 1, which a scan may have read for l; and what follows counts
+    A word of four letters or a whole bracket needs nothing before it; digits
+    are alike but for 1, which a scan may have read for l; what follows counts
     by letter case, except where rules know words (months, Russian letters).
     """
-    token = before[-9:]
-    before = token if token[:-1].isalpha() and len(token) == 9 else before.translate(_DIGITS)
+    token = before[max(before.rfind(" "), before.rfind("\n")) + 1 :]
+    long_word = len(token) > 4 and token[:-1].isalpha()
+    before = token if long_word or token[:1] == "(" and token[-2:] == ")." else before.translate(_DIGITS)
     return before, after.translate(_DIGITS if lang == "de" else _UPPER)
 
 
@@ -240,6 +242,7 @@ class Segmenter:
     def __init__(self) -> None:
         self.rules: dict[str, list[Rule]] = {}
         self.known: dict[tuple[str, str, str], bool] = {}
+        self.blocks: dict[tuple[str, str], tuple[int, ...]] = {}
         flat = lambda s: {h.strip().casefold() for line in s.split("\n") for h in line.split("|") if h.strip()}
         self.headings, self.claims = flat(HEADINGS), flat(CLAIM_HEADINGS)
 
@@ -313,6 +316,39 @@ class Segmenter:
         cuts.append(len(text))
         return cuts, blocks
 
+    def inside(self, lang: str, block: str) -> tuple[int, ...]:
+        """Boundaries in running text.  Paragraphs recur in a corpus, so the
+        last ones are remembered."""
+        key = (lang, block)
+        got = self.blocks.get(key)
+        if got is None:
+            if len(self.blocks) >= 10_000:
+                self.blocks.clear()
+            got = self.blocks[key] = tuple(self._inside(lang, block))
+        return got
+
+    def _inside(self, lang: str, block: str) -> Iterator[int]:
+        spans = [m.span() for m in _QUOTES.finditer(block)] if _QUOTED.search(block) else []
+        k, n = 0, len(spans)
+        for m in _CANDIDATE.finditer(block):
+            p = m.end()
+            start = max(0, p - 20)
+            if n:
+                at = m.start()
+                while k < n and spans[k][1] < p:
+                    k += 1
+                if k < n and spans[k][0] < at:
+                    if p < spans[k][1]:
+                        continue  # inside a quotation
+                    if lang in ("zh", "ja"):
+                        start = max(0, spans[k][0] - 2)
+            if self.decide(lang, *_context(lang, block[start:p], block[p : p + (12 if lang == "de" else 6)])):
+                yield p
+        if lang == "th":
+            yield from (m.start() for m in _THAI.finditer(block))
+        if "[" in block:
+            yield from (m.start() for m in _MARK.finditer(block))
+
     def ends(self, text: str, declared: str | None = None) -> list[int]:
         """The end of every unit: code points before and with its last
         non-space character."""
@@ -326,23 +362,7 @@ class Segmenter:
             if mixed:
                 other, _, lead = frequent(block, whole)
                 lang = other if lead >= 3 else whole
-            spans = [m.span() for m in _QUOTES.finditer(block)] if any(c in block for c in '"“„«「『（') else []
-            k = 0
-            for m in _CANDIDATE.finditer(block):
-                p = m.end()
-                while k < len(spans) and spans[k][1] < p:
-                    k += 1
-                if k < len(spans) and spans[k][0] < m.start() and p < spans[k][1]:
-                    continue  # inside a quotation
-                if k < len(spans) and spans[k][0] < m.start() and p >= spans[k][1] and lang in ("zh", "ja"):
-                    before = block[max(0, spans[k][0] - 2) : p]
-                else:
-                    before = block[max(0, p - 20) : p]
-                if self.decide(lang, *_context(lang, before, block[p : p + (12 if lang == "de" else 6)])):
-                    cuts.append(s + p)
-            if lang == "th":
-                cuts += [s + m.start() for m in _THAI.finditer(block)]
-            cuts += [s + m.start() for m in _MARK.finditer(block)]
+            cuts += [s + c for c in self.inside(lang, block)]
         out, begin, marked = [], 0, -1
         for p in sorted(set(cuts)):
             unit = text[begin:p].rstrip()
