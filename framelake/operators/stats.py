@@ -104,14 +104,16 @@ def missing_media(features: Features, have: DataFrame, keys: Sequence[str] = ("e
 def flatten_stats(stats: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row per episode with columns ``stats/<feature>/<stat>``: the long
     form as arrays over dims; a feature that an episode lacks is null."""
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "count", *STATS)))
-    per = stats.groupBy(F.col("episode_index").alias("__episode"), "feature").agg(ordered.alias("v"))
+    by_dim = F.map_from_entries(F.collect_list(F.struct("dim", F.struct("count", *STATS))))
+    per = stats.groupBy(F.col("episode_index").alias("__episode"), "feature").agg(by_dim.alias("m"), F.max("dim").alias("last"))
+    # a dim that is missing is a null at its place
+    per = per.withColumn("v", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.try_element_at(F.col("m"), i)))
     wide = per.groupBy("__episode").pivot("feature", sorted(features)).agg(F.first("v"))
     cols = []
     for f in sorted(features):
         v = F.col(f"`{f}`")
         cols += [F.transform(v, _member(s)).alias(f"stats/{f}/{s}") for s in STATS]
-        cols.append(F.when(v.isNotNull(), F.array(v[0]["count"])).alias(f"stats/{f}/count"))
+        cols.append(F.when(v.isNotNull(), F.array(F.array_max(F.transform(v, _member("count"))))).alias(f"stats/{f}/count"))
     return wide.select(F.col("__episode").alias("episode_index"), *cols)
 
 
@@ -144,6 +146,7 @@ def unflatten_stats(wide: DataFrame) -> DataFrame:
         parts.append(
             wide.where(first.isNotNull()).select("episode_index", F.lit(feature).alias("feature"), count.cast("bigint").alias("count"), F.posexplode(first).alias("dim", "__v"), *[value(s).alias(f"__{s}") for s in STATS])
             .select("episode_index", "feature", "dim", "count", *[F.get(F.col(f"__{s}"), F.col("dim")).cast("double").alias(s) for s in STATS])
+            .where(F.coalesce(*STATS).isNotNull())
         )
     out = parts[0]
     for p in parts[1:]:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import episodes, quality
 
-_MODULES = (quality,)
+_MODULES = (episodes, quality)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.p4_found(spark, sf_dir)
+    return episodes.episode_stats_events(spark, sf_dir)
