@@ -69,11 +69,13 @@ def build(
     joined = source.join(X.small(numbers), F.col("__key") == F.col("__e")).drop("__e", "__key")
     framed = X.frame_index(joined, "episode_index", [o for o in keyed if o != "__key"])
     framed = X.with_timestamp(framed, fps)
-    per_episode = tasks.episode_tasks(framed, "__task")
-    per_episode = materialize(per_episode)
-    dictionary = tasks.task_dictionary(per_episode)
-    sizes = framed.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"), (F.sum(row_bytes({k: v for k, v in features.items()})) / 2**20).alias("mb"))
-    ranges = X.running_sum(materialize(sizes), "episode_index", "length", "dataset_to_index").withColumn("dataset_from_index", F.col("dataset_to_index") - F.col("length"))
+    # one pass over the numbered frames gives tasks, lengths and sizes
+    bytes_ = F.sum(row_bytes(features)).alias("bytes")
+    seen = materialize(framed.groupBy("episode_index", F.col("__task").alias("task")).agg(F.min("frame_index").alias("frame_index"), F.count(F.lit(1)).alias("n"), bytes_))
+    per_episode = materialize(tasks.episode_tasks(seen))
+    dictionary = materialize(tasks.task_dictionary(per_episode))
+    sizes = seen.groupBy("episode_index").agg(F.sum("n").alias("length"), (F.sum("bytes") / 2**20).alias("mb"))
+    ranges = X.running_sum(sizes, "episode_index", "length", "dataset_to_index").withColumn("dataset_from_index", F.col("dataset_to_index") - F.col("length"))
     placed = materialize(assign_data_files(ranges, info, most=episodes_per_file))
     texts = per_episode.groupBy("episode_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("local_index", "task"))), lambda x: x["task"]).alias("tasks"))
     episodes = placed.join(texts, "episode_index").select("episode_index", "tasks", "length", "dataset_from_index", "dataset_to_index", "data/chunk_index", "data/file_index")
@@ -85,8 +87,8 @@ def build(
     if info.codebase_version == L.V21:
         cameras = sum(v.dtype == "video" for v in features.values())
         info = replace(info, total_chunks=max(0, -(-info.total_episodes // info.chunks_size)), total_videos=cameras * info.total_episodes)
-    long = stats.episode_stats(typed, stats.numeric_features(info.features)) if with_stats else None
-    return Dataset(info, typed, episodes, dictionary, long)
+    derive = stats.numeric_features(info.features) if with_stats else None
+    return Dataset(info, typed, episodes, dictionary, None, derive=derive)
 
 
 def save(dataset: Dataset, root: str, *, force: bool = False) -> Dataset:
@@ -94,11 +96,7 @@ def save(dataset: Dataset, root: str, *, force: bool = False) -> Dataset:
     place = root.removeprefix("file://").removeprefix("file:")
     if os.path.isdir(place) and os.listdir(place) and not force:
         raise FileExistsError(f"{root} is not empty")
-    made = replace(dataset, root=root)
-    if made.stats is not None:
-        made.stats = materialize(stats.sanitise_stats(made.stats))
-    write_dataset(made, root, stats.dataset_stats(made.stats) if made.stats is not None else None)
-    return made
+    return write_dataset(dataset, root)
 
 
 def convert(dataset: Dataset, version: str, **limits: int) -> Dataset:
@@ -114,7 +112,7 @@ def convert(dataset: Dataset, version: str, **limits: int) -> Dataset:
     else:
         cameras = sum(v.dtype == "video" for v in info.features.values())
         info = replace(info, total_chunks=-(-info.total_episodes // max(1, info.chunks_size)), total_videos=cameras * info.total_episodes)
-    return Dataset(info, dataset.frames, materialize(base), dataset.tasks, dataset.stats)
+    return Dataset(info, dataset.frames, materialize(base), dataset.tasks, dataset.stats, derive=dataset.derive)
 
 
 def check_compatible(infos: Sequence[L.DatasetInfo]) -> None:
@@ -154,8 +152,9 @@ def union(datasets: Sequence[Dataset], version: str = L.V30, **limits: int) -> D
         parts["frames"].append(d.frames.select(*[shift(c, moved[c]) if c in moved else F.col(f"`{c}`") for c in cols], F.lit(ordinal).alias("source")))
         parts["episodes"].append(d.episodes.select(shift("episode_index", first_episode), "tasks", "length", shift("dataset_from_index", first_index), shift("dataset_to_index", first_index)))
         parts["tasks"].append(d.tasks.select(F.lit(ordinal).alias("source"), "task_index", "task"))
-        if d.stats is not None:
-            parts["stats"].append(d.stats.where(~F.col("feature").isin(*REINDEXED)).withColumn("episode_index", F.col("episode_index") + F.lit(first_episode)))
+        carried = d.long_stats()
+        if carried is not None:
+            parts["stats"].append(carried.where(~F.col("feature").isin(*REINDEXED)).withColumn("episode_index", F.col("episode_index") + F.lit(first_episode)))
         first_episode += d.info.total_episodes
         first_index += d.info.total_frames
     joined = {k: _union(v) for k, v in parts.items() if v}
@@ -165,13 +164,12 @@ def union(datasets: Sequence[Dataset], version: str = L.V30, **limits: int) -> D
     episodes = joined["episodes"]
     if version == L.V30:
         episodes = assign_data_files(episodes.join(sizes, "episode_index"), info).drop("mb")
-    renumbered = stats.episode_stats(frames, {c: 0 for c in REINDEXED})
-    long = joined["stats"].unionByName(renumbered) if "stats" in joined else renumbered
+    long = joined.get("stats")
     cameras = sum(v.dtype == "video" for v in info.features.values())
     info = replace(info, total_episodes=first_episode, total_frames=first_index, total_tasks=dictionary.count())
     if version == L.V21:
         info = replace(info, total_chunks=-(-first_episode // max(1, info.chunks_size)), total_videos=cameras * first_episode)
-    return Dataset(info, frames, materialize(episodes), dictionary, long)
+    return Dataset(info, frames, materialize(episodes), dictionary, long, derive={c: 0 for c in REINDEXED})
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import episodes, quality
+from . import episodes, pipelines, quality
 
-_MODULES = (episodes, quality)
+_MODULES = (episodes, pipelines, quality)
 
 
 def queries() -> dict:

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from ..functions import layout as L
 from ..functions.features import keys_of
 from ..operators.indexing import running_sum
-from ..operators.stats import STATS, unflatten_stats
+from ..operators.stats import STATS, episode_stats, unflatten_stats
 from .files import local, normalise_images
 
 
 @dataclass
 class Dataset:
-    """frames, episodes, tasks and long statistics, with what info.json says."""
+    """frames, episodes, tasks and long statistics, with what info.json says.
+
+    ``derive`` names features (with their rank) whose statistics are yet to be
+    made from the frames; writing makes them from the files just written.
+    """
 
     info: L.DatasetInfo
     frames: DataFrame
@@ -26,6 +30,14 @@ class Dataset:
     tasks: DataFrame
     stats: DataFrame | None = None
     root: str | None = None
+    derive: dict[str, int] | None = None
+
+    def long_stats(self) -> DataFrame | None:
+        """All statistics, those to be derived included."""
+        if not self.derive:
+            return self.stats
+        made = episode_stats(self.frames, self.derive)
+        return made if self.stats is None else self.stats.unionByName(made)
 
 
 EMPTY_STATS = "episode_index bigint, feature string, dim int, count bigint, " + ", ".join(f"{s} double" for s in STATS)

@@ -12,6 +12,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions.features import Features, arrow_schema, data_columns
-from ..operators.stats import STATS, flatten_stats
+from ..operators.common import materialize
+from ..operators.stats import STATS, dataset_stats, flatten_stats, sanitise_stats
 from .dataset import Dataset
 from .files import local
 
@@ -204,15 +206,27 @@ def data_paths(frames: DataFrame, episodes: DataFrame, info: L.DatasetInfo) -> D
     return frames.join(small(place), "episode_index")
 
 
-def write_dataset(dataset: Dataset, root: str, dataset_stats: DataFrame | None) -> None:
-    """All files of a dataset; info.json last."""
+def write_dataset(dataset: Dataset, root: str) -> Dataset:
+    """All files of a dataset, info.json last; gives the dataset as written.
+
+    Statistics that are to be derived are made from the written data files, so
+    the plan that made the frames runs once.
+    """
     info = dataset.info
     version = L.parse_version(info.codebase_version)
     n = write_data(data_paths(dataset.frames, dataset.episodes, info), info.features, root)
     if n != info.total_frames:
         raise ValueError(f"wrote {n} of {info.total_frames} frames")
+    spark = dataset.frames.sparkSession
+    written = replace(dataset, root=root)
+    if n:
+        written.frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
+    stats = written.long_stats()
+    if stats is not None:
+        stats = materialize(sanitise_stats(stats))
     write_tasks(root, dataset.tasks, version)
-    write_episodes(root, dataset.episodes, dataset.stats, version)
-    if dataset_stats is not None:
-        write_stats(root, dataset_stats, info.features)
+    write_episodes(root, dataset.episodes, stats, version)
+    if stats is not None:
+        write_stats(root, dataset_stats(stats), info.features)
     write_info(root, info)
+    return replace(written, stats=stats, derive=None)
