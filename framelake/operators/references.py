@@ -70,10 +70,11 @@ def orphan_references(
     that holds of ``missing`` (no such key; a reference with a null part in a
     composite key matches none), ``deleted`` (the target is marked deleted) and
     ``late`` (the target arrived after the referring row's ``seen``).  A null
-    ``seen`` or arrival is never late.  Empty tables give no rows, or every
+    ``seen`` or arrival is never late.  A column ``reason`` of ``refs`` is replaced.  Empty tables give no rows, or every
     reference as missing.  Repeated rows come out as often as they went in.
     """
     keys = list(keys)
+    refs = refs.drop("reason")
     profile = reference_profile(refs, keys, seen)
     status = target_status(targets, keys, available_at=available_at, deleted_at=deleted_at)
     q = [F.col(f"`{k}`") for k in keys]
