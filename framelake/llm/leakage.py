@@ -225,7 +225,7 @@ def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, i
     sc = documents.sparkSession.sparkContext
     n_blocks = max(1, -(-rows.count() // block))
     out_schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("words", T.IntegerType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
-    source = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+    source = documents.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
     found = None
     for b in range(n_blocks):
         mine = rows.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)

@@ -265,4 +265,4 @@ def wrong_quantiles(stats: DataFrame, values: DataFrame, groups: Sequence[str],
         | F.coalesce(s[2] > F.col("q50"), F.lit(False))
         | F.coalesce(s[3] > F.col("q90"), F.lit(False))
     )
-    return stats.join(found, groups).where(off).select(*groups).distinct()
+    return stats.select(*groups, "q10", "q50", "q90").join(found, groups).where(off).select(*groups).distinct()

@@ -421,4 +421,5 @@ def sentence_units(documents: DataFrame, doc_id: str, text: str, lang: str | Non
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     la = F.col(f"`{lang}`") if lang else F.lit(None).cast("string")
-    return documents.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text), la).mapInArrow(split, schema)
+    rows = documents.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"), la.alias("l"))
+    return rows.mapInArrow(split, schema)

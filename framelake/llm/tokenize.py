@@ -78,7 +78,8 @@ def encode_corpus(
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
     kept = [c for c in documents.columns if c not in (text, ids)]
     schema = T.StructType([*[documents.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
-    arrow = to_arrow_schema(schema)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+    arrow = to_arrow_schema(plain)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, cache = _encoding(shared.value, pattern)
@@ -104,8 +105,9 @@ def encode_corpus(
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*[b.column(i).cast(arrow.field(i).type) for i in range(len(kept))], lists.cast(arrow.field(len(kept)).type)], schema=arrow)
 
-    rows = documents.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    return rows.mapInArrow(encode, schema)
+    # mapInArrow takes no names with dots, so columns go by their place
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(encode, plain).toDF(*schema.names)
 
 
 def decode_corpus(encoded: DataFrame, ids: str, *, ranks_path: str = DEFAULT_RANKS, pattern: str = PATTERN, text: str = "text") -> DataFrame:
@@ -118,7 +120,8 @@ def decode_corpus(encoded: DataFrame, ids: str, *, ranks_path: str = DEFAULT_RAN
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
     kept = [c for c in encoded.columns if c not in (text, ids)]
     schema = T.StructType([*[encoded.schema[c] for c in kept], T.StructField(text, T.StringType())])
-    arrow = to_arrow_schema(schema)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+    arrow = to_arrow_schema(plain)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = _encoding(shared.value, pattern)
@@ -126,4 +129,5 @@ def decode_corpus(encoded: DataFrame, ids: str, *, ranks_path: str = DEFAULT_RAN
             texts = [None if x is None else enc.decode_bytes(x).decode("utf-8", errors="replace") for x in b.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i).cast(arrow.field(i).type) for i in range(len(kept))], pa.array(texts, arrow.field(len(kept)).type)], schema=arrow)
 
-    return encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").alias("__ids")).mapInArrow(decode, schema)
+    rows = encoded.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{ids}`").alias("ids"))
+    return rows.mapInArrow(decode, plain).toDF(*schema.names)
