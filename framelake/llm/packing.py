@@ -1,9 +1,8 @@
 """Filling fixed-capacity containers by balanced cost.
 
 Items of a group are placed in descending size, each into the container of the
-lowest cost (linear plus quadratic in its length) that still has room; the
-number of containers starts at the least that the sizes allow, and a last pass
-empties containers whose items fit elsewhere.  An item above the capacity is
+lowest cost (linear plus quadratic in its length) that still has room, of as
+many containers as best fit needs for the same items.  An item above the capacity is
 divided into full containers and a remainder.  A group may hold any part of all
 rows: it is packed in blocks of bounded size, and the containers that blocks
 leave partly empty are packed once more.
@@ -24,20 +23,19 @@ FULL = 0.97
 _EPS = 1e-9
 
 
-def pack_sizes(sizes: np.ndarray, costs: np.ndarray, capacity: float) -> np.ndarray:
-    """Container number of each item; no size may exceed the capacity."""
-    n = len(sizes)
-    out = np.full(n, -1, dtype=np.int64)
-    if not n:
-        return out
-    order = np.lexsort((np.arange(n), -costs, -sizes))
-    k = max(1, int(np.ceil(sizes.sum() / capacity - _EPS)))
-    room, load = np.zeros(n + k), np.zeros(n + k)
+def _place(sizes: np.ndarray, costs: np.ndarray, capacity: float, start: int, balanced: bool) -> tuple[np.ndarray, int]:
+    """Container of each item, and how many there are.
+
+    Items go in descending order into the container of the lowest cost that has
+    room (``balanced``), or into the one with the least room that suffices.
+    """
+    n, k = len(sizes), start
+    out, room, load = np.full(n, -1, dtype=np.int64), np.zeros(n + start), np.zeros(n + start)
     room[:k] = capacity
-    for i in order:
+    for i in np.lexsort((np.arange(n), -costs, -sizes)):
         fit = np.flatnonzero(room[:k] >= sizes[i] - _EPS)
         if len(fit):
-            b = fit[np.argmin(load[fit])]
+            b = fit[np.argmin(load[fit] if balanced else room[fit])]
         else:
             b = k
             room[b] = capacity
@@ -45,32 +43,21 @@ def pack_sizes(sizes: np.ndarray, costs: np.ndarray, capacity: float) -> np.ndar
         out[i] = b
         room[b] -= sizes[i]
         load[b] += costs[i]
-    least = max(1, int(np.ceil(sizes.sum() / capacity - _EPS)))
-    while k > least:  # empty the container with most room into the others
-        worst = int(np.argmax(room[:k]))
-        mine = np.flatnonzero(out == worst)
-        if sizes[mine].sum() > room[:k].sum() - room[worst] + _EPS:
-            break
-        spare, to = room[:k].copy(), {}
-        spare[worst] = -1.0
-        for i in mine[np.argsort(-sizes[mine], kind="stable")]:
-            fit = np.flatnonzero(spare >= sizes[i] - _EPS)
-            if not len(fit):
-                break
-            b = fit[np.argmin(spare[fit])]
-            spare[b] -= sizes[i]
-            to[i] = b
-        if len(to) < len(mine):
-            break
-        for i, b in to.items():
-            out[i] = b
-        spare[worst] = 0.0
-        room[:k] = spare
-        last = k - 1
-        if worst != last:
-            out[out == last] = worst
-            room[worst] = room[last]
-        k -= 1
+    return out, k
+
+
+def pack_sizes(sizes: np.ndarray, costs: np.ndarray, capacity: float) -> np.ndarray:
+    """Container number of each item; no size may exceed the capacity.
+
+    Costs are balanced over as many containers as best fit needs.  Where the
+    balance would need more, as with items of a third of the capacity and more,
+    the items stay where best fit put them: room counts before balance.
+    """
+    if not len(sizes):
+        return np.empty(0, dtype=np.int64)
+    tight, least = _place(sizes, costs, capacity, 0, False)
+    even, used = _place(sizes, costs, capacity, least, True)
+    out = even if used <= least else tight
     return np.unique(out, return_inverse=True)[1].astype(np.int64)
 
 
