@@ -49,13 +49,14 @@ def assign_data_files(lengths: DataFrame, info: L.DatasetInfo, *, most: int = 0)
 
 def build(
     steps: DataFrame, features: Features, fps: int, *, episode: str, order: Sequence[str], task: str | None, version: str = L.V30,
-    robot_type: str | None = None, use_videos: bool = True, episodes_per_file: int = 0, with_stats: bool = True, **limits: int,
+    robot_type: str | None = None, use_videos: bool = True, episodes_per_file: int = 0, with_stats: bool = True, videos: DataFrame | None = None, **limits: int,
 ) -> Dataset:
     """A dataset from raw rows: one episode for each value of ``episode``.
 
     Episodes are numbered in the order of their values, frames by ``order``,
     which must be total.  A missing task is the empty one.  Statistics are made
-    once, from the final numbers.
+    once, from the final numbers.  ``videos`` has the videos of the final episode
+    numbers (see ``plans.videos``).
     """
     check_media(features, use_videos)
     others = tuple({episode, task or "task", *order})
@@ -88,7 +89,7 @@ def build(
         cameras = sum(v.dtype == "video" for v in features.values())
         info = replace(info, total_chunks=max(0, -(-info.total_episodes // info.chunks_size)), total_videos=cameras * info.total_episodes)
     derive = stats.numeric_features(info.features) if with_stats else None
-    return Dataset(info, typed, episodes, dictionary, None, derive=derive)
+    return Dataset(info, typed, episodes, dictionary, None, derive=derive, videos=videos)
 
 
 def save(dataset: Dataset, root: str, *, force: bool = False) -> Dataset:
@@ -112,7 +113,7 @@ def convert(dataset: Dataset, version: str, **limits: int) -> Dataset:
     else:
         cameras = sum(v.dtype == "video" for v in info.features.values())
         info = replace(info, total_chunks=-(-info.total_episodes // max(1, info.chunks_size)), total_videos=cameras * info.total_episodes)
-    return Dataset(info, dataset.frames, materialize(base), dataset.tasks, dataset.stats, derive=dataset.derive)
+    return Dataset(info, dataset.frames, materialize(base), dataset.tasks, dataset.stats, derive=dataset.derive, videos=dataset.videos)
 
 
 def check_compatible(infos: Sequence[L.DatasetInfo]) -> None:
@@ -144,7 +145,7 @@ def union(datasets: Sequence[Dataset], version: str = L.V30, **limits: int) -> D
     version = L.parse_version(version)
     info = replace(datasets[0].info.to_version(version), **limits)
     cols = data_columns(info.features)
-    parts: dict[str, list[DataFrame]] = {"frames": [], "episodes": [], "tasks": [], "stats": []}
+    parts: dict[str, list[DataFrame]] = {"frames": [], "episodes": [], "tasks": [], "stats": [], "videos": []}
     first_episode = first_index = 0
     for ordinal, d in enumerate(datasets):
         shift = lambda c, by: (F.col(c) + F.lit(by)).cast("bigint").alias(c)
@@ -152,6 +153,8 @@ def union(datasets: Sequence[Dataset], version: str = L.V30, **limits: int) -> D
         parts["frames"].append(d.frames.select(*[shift(c, moved[c]) if c in moved else F.col(f"`{c}`") for c in cols], F.lit(ordinal).alias("source")))
         parts["episodes"].append(d.episodes.select(shift("episode_index", first_episode), "tasks", "length", shift("dataset_from_index", first_index), shift("dataset_to_index", first_index)))
         parts["tasks"].append(d.tasks.select(F.lit(ordinal).alias("source"), "task_index", "task"))
+        if d.videos is not None:
+            parts["videos"].append(d.videos.select(shift("episode_index", first_episode), "camera", "path", "start", "stop"))
         carried = d.long_stats()
         if carried is not None:
             parts["stats"].append(carried.where(~F.col("feature").isin(*REINDEXED)).withColumn("episode_index", F.col("episode_index") + F.lit(first_episode)))
@@ -169,7 +172,7 @@ def union(datasets: Sequence[Dataset], version: str = L.V30, **limits: int) -> D
     info = replace(info, total_episodes=first_episode, total_frames=first_index, total_tasks=dictionary.count())
     if version == L.V21:
         info = replace(info, total_chunks=-(-first_episode // max(1, info.chunks_size)), total_videos=cameras * first_episode)
-    return Dataset(info, frames, materialize(episodes), dictionary, long, derive={c: 0 for c in REINDEXED})
+    return Dataset(info, frames, materialize(episodes), dictionary, long, derive={c: 0 for c in REINDEXED}, videos=joined.get("videos"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

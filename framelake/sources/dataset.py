@@ -31,6 +31,7 @@ class Dataset:
     stats: DataFrame | None = None
     root: str | None = None
     derive: dict[str, int] | None = None
+    videos: DataFrame | None = None
 
     def long_stats(self) -> DataFrame | None:
         """All statistics, those to be derived included."""
@@ -75,6 +76,8 @@ def read_old_stats(spark: SparkSession, root: str) -> DataFrame:
 def read_dataset(spark: SparkSession, root: str) -> Dataset:
     """A dataset of either layout; the frames are scanned with the columns that
     are asked for, and filters on index or episode_index reach the scan."""
+    from ..plans.videos import of_dataset
+
     info = load_info(root)
     version = L.parse_version(info.codebase_version)
     frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
@@ -86,7 +89,7 @@ def read_dataset(spark: SparkSession, root: str) -> Dataset:
         episodes = run.withColumn("dataset_from_index", F.col("dataset_to_index") - F.col("length"))
         has = os.path.exists(os.path.join(local(root), L.OLD_STATS))
         stats = read_old_stats(spark, root) if has else spark.createDataFrame([], EMPTY_STATS)
-        return Dataset(info, frames, episodes, tasks, stats, root)
+        return Dataset(info, frames, episodes, tasks, stats, root, videos=of_dataset(episodes, info, root))
     meta = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(f"{root}/meta/episodes")
     zero = lambda c: (F.coalesce(F.col(f"`{c}`"), F.lit(0)) if c in meta.columns else F.lit(0)).cast("bigint").alias(c)
     numbers = ["dataset_from_index", "dataset_to_index", "data/chunk_index", "data/file_index"]
@@ -96,7 +99,7 @@ def read_dataset(spark: SparkSession, root: str) -> Dataset:
         stats = unflatten_stats(meta)
     except ValueError:
         stats = spark.createDataFrame([], EMPTY_STATS)
-    return Dataset(info, frames, episodes, tasks, stats, root)
+    return Dataset(info, frames, episodes, tasks, stats, root, videos=of_dataset(episodes, info, root))
 
 
 def data_files(root: str, info: L.DatasetInfo, episodes: DataFrame | None = None) -> list[str]:

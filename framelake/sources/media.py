@@ -181,12 +181,31 @@ def extract(source: str, out: str, start: float, stop: float, program: str | Non
     _run([find_program(explicit=program), "-y", "-ss", f"{start:.6f}", "-to", f"{stop:.6f}", "-i", source, "-c", "copy", out])
 
 
-def run_plan(plan: DataFrame, fps: int, program: str | None = None) -> DataFrame:
-    """Makes the videos of a plan (output, ordinal, input), one task each."""
+def make_videos(plan: DataFrame, fps: int, program: str | None = None) -> DataFrame:
+    """Makes the videos of a plan, one task each; gives output and n_inputs.
+
+    ``plan`` has output, ordinal, input, start and stop (null for the whole
+    file).  A video of one whole file is a copy and needs no program.
+    """
 
     def make(key: tuple, table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["ordinal"].to_pylist(), table["input"].to_pylist()))
-        concatenate([local(r[1]) for r in rows], local(key[0].as_py()), fps, program)
+        out = local(key[0].as_py())
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("ordinal", "input", "start", "stop"))), key=lambda r: r[0])
+        parts, cut = [], []
+        try:
+            for ordinal, path, start, stop in rows:
+                if stop is None:
+                    parts.append(local(path))
+                    continue
+                piece = f"{out}.{ordinal}.mp4"
+                extract(local(path), piece, start, stop, program)
+                parts.append(piece)
+                cut.append(piece)
+            concatenate(parts, out, fps, program)
+        finally:
+            for piece in cut:
+                if os.path.exists(piece):
+                    os.remove(piece)
         return pa.table({"output": [key[0].as_py()], "n_inputs": pa.array([len(rows)], pa.int64())})
 
-    return plan.groupBy("output").applyInArrow(make, "output string, n_inputs bigint")
+    return plan.select("output", "ordinal", "input", "start", "stop").groupBy("output").applyInArrow(make, "output string, n_inputs bigint")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
-from ..functions.features import Features, arrow_schema, data_columns
+from ..functions.features import Features, arrow_schema, data_columns, keys_of
 from ..operators.common import materialize
 from ..operators.stats import STATS, dataset_stats, flatten_stats, sanitise_stats
 from .dataset import Dataset
@@ -221,11 +221,20 @@ def write_dataset(dataset: Dataset, root: str) -> Dataset:
     written = replace(dataset, root=root)
     if n:
         written.frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
+    if keys_of(info.features, "video"):
+        from ..plans.videos import missing, place
+
+        if written.videos is None:
+            raise ValueError(f"no videos of {keys_of(info.features, 'video')}")
+        lacking = missing(written.videos, written.episodes, keys_of(info.features, "video")).first()
+        if lacking is not None:
+            raise ValueError(f"episode {lacking[0]}: no video of {lacking[1]}")
+        written.episodes, written.videos = place(written.videos, written.episodes, info, root)
     stats = written.long_stats()
     if stats is not None:
         stats = materialize(sanitise_stats(stats))
     write_tasks(root, dataset.tasks, version)
-    write_episodes(root, dataset.episodes, stats, version)
+    write_episodes(root, written.episodes, stats, version)
     if stats is not None:
         write_stats(root, dataset_stats(stats), info.features)
     write_info(root, info)

@@ -196,3 +196,24 @@ def test_media(spark, tmp_path):
     if not shutil.which("ffmpeg"):
         with pytest.raises(media.MediaError):
             media.concatenate([str(good), str(good)], str(tmp_path / "x/two.mp4"), 10)
+
+
+def test_videos_are_placed(spark, tmp_path):
+    features = {"action": FEATURES["action"], "top": FeatureSpec("video", (48, 64, 3))}
+    rows = []
+    for e in range(2):
+        (tmp_path / f"{e}.mp4").write_bytes(_mp4(3 + e, 10 * 512, 512) + bytes(700_000))
+        rows.append((e, "top", str(tmp_path / f"{e}.mp4"), None, None))
+    videos = spark.createDataFrame(rows, "episode_index bigint, camera string, path string, start double, stop double")
+    raw = steps(spark, ("a", 3), ("b", 4)).drop("observation.state")
+    build = lambda v: B.build(raw, features, 10, episode="episode", order=["step"], task="task", version="v3.0", videos=v, video_files_size_in_mb=1)
+    with pytest.raises(ValueError):
+        B.save(build(videos.where("episode_index = 0")), str(tmp_path / "lacking"))
+    d = B.save(build(videos), str(tmp_path / "v30"))
+    assert [tuple(r) for r in d.episodes.orderBy("episode_index").select("`videos/top/file_index`", "`videos/top/from_timestamp`", "`videos/top/to_timestamp`").collect()] == [(0, 0.0, 0.3), (1, 0.0, 0.4)]
+    old = B.save(B.convert(read_dataset(spark, str(tmp_path / "v30")), "v2.1"), str(tmp_path / "v21"))
+    assert old.info.total_videos == 2
+    for e in range(2):
+        assert (tmp_path / f"v21/videos/chunk-000/top/episode_{e:06d}.mp4").read_bytes() == (tmp_path / f"{e}.mp4").read_bytes()
+    codes = {c for _, c, _, _ in V.validate(spark, str(tmp_path / "v21")).problems}
+    assert "video" not in codes and "stats_coverage" in codes  # pixels need a decoder, so their statistics are the caller's
