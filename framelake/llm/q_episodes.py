@@ -144,6 +144,34 @@ SELECT DISTINCT episode_index, c AS container FROM (
 WHERE s > m
 """
 
+_INVISIBLE_SQL = r"[\p{Cf}\x{FE00}-\x{FE0F}\x{34F}\x{115F}\x{1160}\x{3164}]"
+
+
+def _words_sql(x: str) -> str:
+    """The canonical words in SQL without look-around: neighbours are kept."""
+    t = f"lower(upper(regexp_replace({x}, '{_INVISIBLE_SQL}', '', 'g')))"
+    t = f"regexp_replace({t}, '[\\x{{2212}}\\x{{FF0D}}]', '-', 'g')"
+    for pattern, put in (
+        (r"(^|[^\p{L}\p{N}-])-(\.?\p{Nd})", "\ue001"), (r"([\p{L}\p{N}]-)-(\.?\p{Nd})", "\ue001"),
+        (r"(\p{Nd})\.(\p{Nd})", "\ue000"), (r"(\p{Nd})\.(\p{Nd})", "\ue000"), (r"(^|[^\p{L}\p{N}.])\.(\p{Nd})", "\ue000"),
+    ):
+        t = f"regexp_replace({t}, '{pattern}', '\\1{put}\\2', 'g')"
+    t = f"trim(regexp_replace({t}, '[\\p{{P}}\\p{{Z}}\\p{{Cc}}|=~`^<>]+', ' ', 'g'))"
+    return f"translate({t}, '\ue000\ue001', '.-')"
+
+
+_FIELD_SQL = r"(?s)^\s*[\x22\x27]?([\p{L}_][\p{L}\p{N}_.\-]*)[\x22\x27]?\s*[:=](.*)$"
+_P3 = f"""
+WITH b AS (SELECT DISTINCT task_index, task, regexp_replace(regexp_replace(task, '{_INVISIBLE_SQL}', '', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS bare FROM tasks WHERE task IS NOT NULL),
+w AS (SELECT *, {_words_sql('task')} AS words, regexp_full_match(bare, '(?s)\\{{.*\\}}') AND json_valid(bare) AS js,
+ list_filter(string_split_regex(bare, CASE WHEN regexp_matches(bare, '[;|]') THEN '[;|]' WHEN regexp_matches(bare, '[\\r\\n]') THEN '[\\r\\n]+' ELSE ',' END), lambda p: length(trim(p)) > 0) AS parts FROM b),
+k AS (SELECT task_index, task, CASE
+ WHEN words = '' THEN NULL
+ WHEN js AND len(json_keys(bare)) > 0 THEN 'R' || array_to_string(list_sort(list_transform(json_keys(bare), lambda f: {_words_sql('f')} || chr(31) || {_words_sql("coalesce(json_extract_string(bare, '$.' || chr(34) || f || chr(34)), '')")})), chr(30))
+ WHEN len(parts) >= 2 AND len(list_filter(parts, lambda p: NOT regexp_matches(p, '{_FIELD_SQL}'))) = 0 THEN 'R' || array_to_string(list_sort(list_transform(parts, lambda p: {_words_sql(f"regexp_extract(p, '{_FIELD_SQL}', 1)")} || chr(31) || {_words_sql(f"regexp_extract(p, '{_FIELD_SQL}', 2)")})), chr(30))
+ ELSE 'S' || words END AS form FROM w)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -157,6 +185,8 @@ QUERIES = {
 }
 SQL = {
     "p1_found": _P1,
+    "p3_found": _P3 + "SELECT a AS task_index_a, task_index AS task_index_b FROM (SELECT task_index, min(task_index) OVER (PARTITION BY form) AS a FROM k WHERE form IS NOT NULL) WHERE a <> task_index",
+    "p3_copies": _P3 + "SELECT min(task_index) AS task_index, arg_min(task, task_index) AS task, count(*) AS n_copies FROM k WHERE form IS NOT NULL GROUP BY form",
     "p7_found": _P7,
     "p2_found": _VALUES
     + """, j AS (SELECT s.episode_index, s.feature, s.dim, s.q10, s.q50, s.q90, count(*) AS n,
