@@ -112,6 +112,34 @@ WITH l AS (SELECT file_id, repo_id, regexp_extract(unnest(string_split(body, chr
 s AS (SELECT file_id, CAST(TRY_CAST(trim(json_extract_string(j, '$.episode_index')) AS DOUBLE) AS BIGINT) AS episode_index, CAST(TRY_CAST(trim(json_extract_string(j, '$.frame_index')) AS DOUBLE) AS BIGINT) AS frame_index FROM l WHERE j <> '' AND json_valid(j))
 """
 
+_P5 = """
+WITH a AS (SELECT stream_id, revision, min(info) AS info FROM info_snapshots WHERE info IS NOT NULL AND json_valid(info) AND json_type(CASE WHEN json_valid(info) THEN info END) = 'OBJECT' GROUP BY 1, 2),
+p AS (SELECT stream_id, revision, lag(revision) OVER (PARTITION BY stream_id ORDER BY revision) AS before FROM a),
+k AS (SELECT stream_id, revision, info, unnest(json_keys(info)) AS f FROM a),
+t AS (SELECT stream_id, revision, f AS field, json_extract(info, '$."' || f || '"') AS v FROM k WHERE f <> 'features'),
+n AS (SELECT stream_id, revision, info, unnest(json_keys(info, '$.features')) AS f FROM a WHERE json_type(info, '$.features') = 'OBJECT'),
+g AS (SELECT stream_id, revision, 'features.' || f AS field, json_extract(info, '$.features."' || f || '"') AS v FROM n),
+h AS (SELECT *, coalesce(json_extract_string(v, '$.dtype'), '') || '|' || CASE WHEN replace(CAST(v->'$.shape' AS VARCHAR), ' ', '') = '[]' THEN '[1]' ELSE coalesce(replace(CAST(v->'$.shape' AS VARCHAR), ' ', ''), 'null') END AS kind FROM g WHERE json_type(v) <> 'NULL'),
+fields AS (
+SELECT stream_id, revision, field, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, CAST(v AS VARCHAR) AS content, 0 AS part FROM t WHERE json_type(v) <> 'NULL'
+UNION ALL
+SELECT stream_id, revision, field, kind, kind || '|' || CAST(coalesce(v->'$.names', 'null') AS VARCHAR) || '|' || CAST(coalesce(v->'$.description', 'null') AS VARCHAR), 1 FROM h),
+o AS (SELECT p.stream_id, p.revision, f.field, f.kind, f.content, f.part FROM p JOIN fields f ON f.stream_id = p.stream_id AND f.revision = p.before),
+c AS (SELECT p.stream_id, p.revision, f.field, f.kind, f.content, f.part FROM p JOIN fields f ON f.stream_id = p.stream_id AND f.revision = p.revision WHERE p.before IS NOT NULL),
+gone AS (SELECT *, row_number() OVER (PARTITION BY stream_id, revision, part, kind, content ORDER BY field) AS i FROM o ANTI JOIN c USING (stream_id, revision, field)),
+come AS (SELECT *, row_number() OVER (PARTITION BY stream_id, revision, part, kind, content ORDER BY field) AS i FROM c ANTI JOIN o USING (stream_id, revision, field)),
+moved AS (SELECT stream_id, revision, part, gone.field AS old, come.field AS fresh FROM gone JOIN come USING (stream_id, revision, part, kind, content, i)),
+b AS (SELECT stream_id, revision, field, o.kind AS k1, c.kind AS k2, o.content AS c1, c.content AS c2 FROM o JOIN c USING (stream_id, revision, field)),
+alias AS (SELECT *, lower(trim(json_extract_string(CASE WHEN field = 'codebase_version' THEN c1 END, '$'))) AS v1, lower(trim(json_extract_string(CASE WHEN field = 'codebase_version' THEN c2 END, '$'))) AS v2 FROM b WHERE field = 'codebase_version'),
+std AS (SELECT *, CASE WHEN v1 IN ('v2.1', 'v2', '2.1') THEN 'a' WHEN v1 IN ('v3.0', 'v3', '3.0') THEN 'b' ELSE v1 END AS w1, CASE WHEN v2 IN ('v2.1', 'v2', '2.1') THEN 'a' WHEN v2 IN ('v3.0', 'v3', '3.0') THEN 'b' ELSE v2 END AS w2 FROM alias)
+SELECT stream_id, revision, old AS field, 'renamed' AS change_kind, fresh AS new_field FROM moved
+UNION ALL SELECT stream_id, revision, field, 'removed', '' FROM gone WHERE (stream_id, revision, field) NOT IN (SELECT (stream_id, revision, old) FROM moved)
+UNION ALL SELECT stream_id, revision, field, 'added', '' FROM come WHERE (stream_id, revision, field) NOT IN (SELECT (stream_id, revision, fresh) FROM moved)
+UNION ALL SELECT stream_id, revision, field, 'retyped', '' FROM b WHERE k1 <> k2
+UNION ALL SELECT stream_id, revision, field, 'changed', '' FROM b WHERE field = 'data_path' AND c1 <> c2
+UNION ALL SELECT stream_id, revision, field, 'changed', '' FROM std WHERE w1 <> w2
+"""
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_counts": p4_counts,
@@ -122,6 +150,7 @@ QUERIES = {
     "p6_written": p6_written,
 }
 SQL = {
+    "p5_found": _P5,
     "p6_found": _STEPS + "SELECT episode_index, frame_index FROM s WHERE episode_index IS NOT NULL AND frame_index IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT file_id) > 1",
     "p4_found": _P4 + "SELECT DISTINCT table_name, field, row_key, reason FROM o WHERE reason IS NOT NULL",
     "p4_counts": _P4 + "SELECT table_name, field, strftime(recorded_at, '%Y-%m') AS month, reason, count(DISTINCT row_key) AS n_orphans FROM o WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",
