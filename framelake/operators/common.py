@@ -41,6 +41,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions_for(df: DataFrame, target: int = 32 << 20) -> int:
+    """Partitions of an explicit shuffle of ``df``: the session's number, or
+    more where the planner's estimate of its size asks for more than that."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except (AttributeError, TypeError):  # a session without a local planner
+        return least
+    return max(least, min(100_000, -(-size // target)))
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for k in keys:

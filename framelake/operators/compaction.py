@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, partitions_for
 
 #: Bits of each coordinate of a code, and of the cells the histogram counts.
 BITS = 16
@@ -78,10 +78,15 @@ def hilbert_index(x: np.ndarray, y: np.ndarray, bits: int = BITS) -> np.ndarray:
     return d
 
 
-def with_hilbert_code(rows: DataFrame, x: str, y: str, name: str = "code") -> DataFrame:
-    """Adds the Hilbert code of two integer columns, scaled to their range."""
-    lo_hi = rows.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    x0, x1, y0, y1 = (0 if v is None else v for v in lo_hi)
+def bounds(rows: DataFrame, x: str, y: str) -> tuple[int, int, int, int]:
+    """Smallest and largest x and y; zeros for an empty table."""
+    found = rows.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    return tuple(0 if v is None else v for v in found)
+
+
+def hilbert_code(x: str, y: str, box: tuple[int, int, int, int]) -> Column:
+    """The Hilbert code of two integer columns, scaled to their range."""
+    x0, x1, y0, y1 = box
 
     @F.pandas_udf(T.LongType())
     def code(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -92,7 +97,7 @@ def with_hilbert_code(rows: DataFrame, x: str, y: str, name: str = "code") -> Da
 
         return pd.Series(hilbert_index(scale(a, x0, x1), scale(b, y0, y1)))
 
-    return rows.withColumn(name, code(F.col(x), F.col(y)))
+    return code(F.col(x), F.col(y))
 
 
 def cluster(rows: DataFrame, x: str, y: str, *, parts: int | None = None) -> DataFrame:
@@ -103,10 +108,14 @@ def cluster(rows: DataFrame, x: str, y: str, *, parts: int | None = None) -> Dat
     by the row's hash.  Rows of equal coordinates stay in one part.
     """
     spark = rows.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = materialize(with_hilbert_code(rows, x, y))
+    # only the two coordinates are kept for range and histogram; what is large
+    # in a row passes once, in the shuffle
+    keys = materialize(rows.select(x, y))
+    parts = parts or partitions_for(rows)
+    code = hilbert_code(x, y, bounds(keys, x, y))
+    coded = rows.withColumn("code", code)
     cell = F.shiftright("code", 2 * BITS - CELL_BITS)
-    counts = {r[0]: r[1] for r in coded.groupBy(cell.alias("cell")).agg(F.count(F.lit(1))).collect()}  # <= 2**CELL_BITS rows
+    counts = {r[0]: r[1] for r in keys.withColumn("code", code).groupBy(cell.alias("cell")).agg(F.count(F.lit(1))).collect()}  # <= 2**CELL_BITS rows
     share = max(1.0, sum(counts.values()) / parts)
     table, upto = [], 0
     for c in sorted(counts):
