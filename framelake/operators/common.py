@@ -49,6 +49,8 @@ def partitions_for(df: DataFrame, target: int = 32 << 20) -> int:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except (AttributeError, TypeError):  # a session without a local planner
         return least
+    if size >= 1 << 50:  # the planner does not know it
+        return least
     return max(least, min(100_000, -(-size // target)))
 
 
