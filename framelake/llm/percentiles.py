@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.common import partitions_for
+
 QUANTILES = (0.01, 0.10, 0.50, 0.90, 0.99)
 
 #: Gives for group sizes n, an int64 array, the wanted 0-based positions as an
@@ -136,8 +138,7 @@ def order_statistics(
     ignored; null group keys are a group; an empty input gives no rows.
     """
     groups = list(groups)
-    spark = values.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or partitions_for(values, 8 << 20)  # unpivoted rows are wider than their scan
     v = values.where(F.col(value).isNotNull()).select(
         *groups, F.col(value).cast("double").alias("__v"), (F.lit(0) if spread is None else spread).cast("tinyint").alias("__tie")
     )
