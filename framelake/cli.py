@@ -43,10 +43,13 @@ def _session() -> SparkSession:
 
 def _show(report: validate.Report, as_json: bool) -> int:
     if as_json:
-        print(json.dumps({"ok": report.ok, "version": report.version, "summary": report.summary, "errors": report.errors, "warnings": report.warnings}, indent=2))
+        print(json.dumps({"ok": report.ok, "version": report.version, "summary": report.summary, "n_errors": report.count(validate.ERROR), "n_warnings": report.count(validate.WARNING), "errors": report.errors, "warnings": report.warnings}, indent=2))
     else:
         for severity, _, _, message in report.problems:
             print(f"{severity}: {message}")
+        hidden = sum(report.counts.values()) - len(report.problems)
+        if hidden:
+            print(f"{hidden} more: {report.count(validate.ERROR)} errors, {report.count(validate.WARNING)} warnings in all")
         print(report.summary or "not valid")
     return OK if report.ok else FAILED
 

@@ -9,6 +9,8 @@ problem reaches the driver.
 from __future__ import annotations
 
 import os
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +24,21 @@ from ..sources.dataset import data_files, load_info, read_dataset
 from ..sources.files import local
 
 ERROR, WARNING = "error", "warning"
-#: A report shows so many problems; the counts are of all.
+#: A check shows so many problems, errors first; the counts are of all.
 SHOWN = 1000
 
+Problem = tuple[str, str, str, str]
+
 
 @dataclass
 class Report:
+    """``problems`` are those that are shown; ``counts`` has the number of all by
+    severity and code, and only it decides whether the dataset is ok."""
+
     version: str = ""
     summary: str = ""
-    problems: list[tuple[str, str, str, str]] = field(default_factory=list)
+    problems: list[Problem] = field(default_factory=list)
+    counts: Counter[tuple[str, str]] = field(default_factory=Counter)
 
     @property
     def errors(self) -> list[str]:
@@ -40,9 +48,30 @@ class Report:
     def warnings(self) -> list[str]:
         return [m for s, _, _, m in self.problems if s == WARNING]
 
+    def count(self, severity: str) -> int:
+        return sum(n for (s, _), n in self.counts.items() if s == severity)
+
     @property
     def ok(self) -> bool:
-        return not self.errors
+        return not self.count(ERROR)
+
+    def add(self, severity: str, code: str, subject: str, message: str) -> None:
+        self.counts[severity, code] += 1
+        self.problems.append((severity, code, subject, message))
+
+    def add_all(self, found: Iterable[Problem]) -> None:
+        """Counts all, shows the first of them, errors before warnings."""
+        rows = sorted(found, key=lambda r: r[0])  # "error" is before "warning"
+        self.counts.update((severity, code) for severity, code, _, _ in rows)
+        self.problems += rows[:SHOWN]
+
+    def add_rows(self, rows: DataFrame) -> None:
+        """``add_all`` of a DataFrame: the counts are an aggregate, and only what
+        is shown is fetched, by a second pass that a clean dataset is spared."""
+        counts = {(r["severity"], r["code"]): r["count"] for r in rows.groupBy("severity", "code").count().collect()}
+        self.counts.update(counts)
+        if counts:
+            self.problems += [tuple(r) for r in rows.orderBy("severity", "code", "subject", "message").limit(SHOWN).collect()]
 
 
 def problems(rows: DataFrame, severity: str, code: str, subject: Column, message: Column) -> DataFrame:
@@ -76,27 +105,26 @@ def task_checks(dictionary: DataFrame, total: int) -> DataFrame:
     return problems(gap, ERROR, "task_gap", F.col("task_index"), F.format_string("tasks: no task_index %d", F.col("task_index")))
 
 
-def column_checks(spark: SparkSession, root: str, info: L.DatasetInfo) -> list[tuple[str, str, str, str]]:
+def column_checks(spark: SparkSession, root: str, info: L.DatasetInfo, report: Report) -> None:
     """Columns that data files lack, from their footers in parallel."""
     from ..operators.drift import file_schemas
 
     files = data_files(root, info)
     there = [f for f in files if os.path.exists(os.path.join(local(root), f))]
-    found = [(ERROR, "missing_file", f, f"missing {f}") for f in files if f not in set(there)]
+    report.add_all((ERROR, "missing_file", f, f"missing {f}") for f in sorted(set(files) - set(there)))
     if there:
         wanted = F.array(*[F.lit(c) for c in sorted({*data_columns(info.features), *DEFAULT_FEATURES})])
         base = local(root)
         have = file_schemas(spark, [os.path.join(base, f) for f in there]).groupBy("path").agg(F.collect_set("field").alias("have"))
-        lacking = have.select("path", F.explode(F.array_except(wanted, "have")).alias("field"))
-        found += [(ERROR, "missing_column", os.path.relpath(r["path"], base), f"{os.path.relpath(r['path'], base)}: no column {r['field']}") for r in lacking.limit(SHOWN).collect()]
-    return found
+        lacking = have.select(F.substring("path", len(base.rstrip("/")) + 2, 1 << 30).alias("path"), F.explode(F.array_except(wanted, "have")).alias("field"))
+        report.add_rows(problems(lacking, ERROR, "missing_column", F.col("path"), F.format_string("%s: no column %s", "path", "field")))
 
 
 def validate(spark: SparkSession, root: str, *, strict: bool = True) -> Report:
     """Checks a dataset of either layout; an unreadable one is not ok."""
     report = Report()
     base = local(root)
-    add = lambda severity, code, subject, message: report.problems.append((severity, code, subject, message))
+    add = report.add
     exists = lambda name: os.path.exists(os.path.join(base, name))
     try:
         info = load_info(root)
@@ -134,8 +162,8 @@ def validate(spark: SparkSession, root: str, *, strict: bool = True) -> Report:
                 add(ERROR, "stats_coverage", k, f"{L.STATS}: no statistics of {k}")
     if info.splits.get("train") != f"0:{info.total_episodes}":
         add(ERROR, "splits", L.INFO, f"splits.train is {info.splits.get('train')!r}")
-    report.problems += column_checks(spark, root, info)
-    if report.errors and any(c in ("missing_file", "missing_column") for _, c, _, _ in report.problems):
+    column_checks(spark, root, info, report)
+    if any(report.counts[ERROR, c] for c in ("missing_file", "missing_column")):
         return report
     d = read_dataset(spark, root)
     counts = d.episodes.agg(F.count(F.lit(1)), F.sum("length")).first()
@@ -149,12 +177,12 @@ def validate(spark: SparkSession, root: str, *, strict: bool = True) -> Report:
     if n_frames != info.total_frames:
         add(ERROR, "total_frames", "data", f"{n_frames} frames, total_frames {info.total_frames}")
     checks = frame_checks(d.frames, d.episodes, info.fps, strict).unionByName(chain_checks(d.episodes)).unionByName(task_checks(d.tasks, info.total_tasks))
-    report.problems += [tuple(r) for r in checks.limit(SHOWN).collect()]
+    report.add_rows(checks)
     if version == L.V21:
         empty = d.episodes.join(d.stats.select("episode_index").distinct(), "episode_index", "left_anti")
-        report.problems += [(WARNING, "empty_stats", str(r[0]), f"episode {r[0]}: no statistics") for r in empty.select("episode_index").limit(SHOWN).collect()]
+        report.add_rows(problems(empty, WARNING, "empty_stats", F.col("episode_index"), F.format_string("episode %d: no statistics", "episode_index")))
     if strict and info.video_path:
-        report.problems += video_checks(base, info)
+        report.add_all(video_checks(base, info))
     report.summary = f"{version}: {info.total_episodes} episodes, {info.total_frames} frames, {info.total_tasks} tasks"
     return report
 
@@ -171,7 +199,7 @@ def video_checks(base: str, info: L.DatasetInfo) -> list[tuple[str, str, str, st
             pattern = L.fill(L.VIDEO_PATH[L.V30].replace("{chunk_index:03d}", "*").replace("{file_index:03d}", "*"), video_key=key)
             names = [os.path.relpath(p, base) for p in glob.glob(os.path.join(base, pattern))] or [f"videos/{key}"]
         found += [(ERROR, "video", n, f"missing or empty {n}") for n in names if not os.path.isfile(os.path.join(base, n)) or not os.path.getsize(os.path.join(base, n))]
-    return found[:SHOWN]
+    return found
 
 
 def schema_diff(spark: SparkSession, a: L.DatasetInfo, b: L.DatasetInfo) -> DataFrame:

@@ -39,7 +39,7 @@ def finalize_and_validate(spark: SparkSession, d: str) -> DataFrame:
         root = _place(spark, "dataset")
         B.save(_built(spark, d, version), root)
         report = V.validate(spark, root, strict=True)
-        rows.append((version, report.ok, len(report.errors), len(report.warnings), report.summary))
+        rows.append((version, report.ok, report.count(V.ERROR), report.count(V.WARNING), report.summary))
     return spark.createDataFrame(rows, "version string, ok boolean, errors int, warnings int, summary string")
 
 
