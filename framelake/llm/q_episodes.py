@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.common import BROADCAST_ROWS
+from ..operators.common import BROADCAST_ROWS, checkpoint_dir
 from ..queries.base import table
+from ..sources.files import local
 from . import formatting as D
 from . import packing as K
 from . import percentiles as P
@@ -69,6 +73,22 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"), "split", "status")
 
 
+BATCHES = 3
+
+
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Splits of episodes that come in three batches, by ranges of their numbers;
+    between the batches only the tables in the shared folder are kept."""
+    shares = S.shares_of(table(spark, d, "dataset_info"), "repo_id", "splits")
+    episodes = table(spark, d, "episodes").where(F.col("episode_index").isNotNull()).withColumn("w", F.lit(1))
+    lo, hi = episodes.agg(F.coalesce(F.min("episode_index"), F.lit(0)), F.coalesce(F.max("episode_index"), F.lit(0))).first()
+    batch = F.floor((F.col("episode_index") - lo) * BATCHES / (hi - lo + 1))
+    root = os.path.join(local(checkpoint_dir(spark)), f"splits-{uuid.uuid4().hex}")
+    for k in range(BATCHES):
+        S.write_state(S.update_splits(episodes.where(batch == k), "episode_index", IDS, "parent_episode_index", "repo_id", "w", shares, S.read_state(spark, root)), root)
+    return S.read_state(spark, root).nodes.select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"), "split", "status")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = D.duplicate_members(table(spark, d, "tasks"), "task_index", "task")
     return found.select(F.col("first_key").alias("task_index_a"), F.col("key").alias("task_index_b"))
@@ -175,6 +195,7 @@ k AS (SELECT task_index, task, CASE
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
+    "p1_batches": p1_batches,
     "p2_found": p2_found,
     "p2_daily": p2_daily,
     "p2_combined": p2_combined,

@@ -6,18 +6,22 @@ is carried from run to run: new links are mapped to the components of their
 ends and contracted by hooking every component to its smallest neighbour, with
 pointer jumping to the roots.  A component that already had a split keeps it, a
 new one fills the largest deficit against the wanted shares, and a component
-that joins records of different splits is quarantined.
+that joins records of different splits is quarantined, and stays so.  The ids
+are carried too, so a run may be given new records alone.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.common import BROADCAST_ROWS, lookup_join, materialize
+from ..sources.files import local
 
 #: Written forms of an id that is not known; they link nothing.
 UNKNOWN_IDS = ("", "unknown", "n/a", "-")
@@ -28,6 +32,21 @@ HEAVY = 64
 BUCKETS = 256
 SPLITS = ("train", "val", "test")
 QUARANTINE = "quarantine"
+#: Kind of the key of a parent that is no record yet; ids have 0, 1, ...
+WAITING = -1
+
+
+@dataclass
+class State:
+    """The tables that are carried from run to run.
+
+    nodes: node, component, home, weight, split, status, one row per record.
+    keys: kind, key, component, for each id, and for each parent that is awaited
+    (several components may await the same one; that does not link them).
+    """
+
+    nodes: DataFrame
+    keys: DataFrame
 
 
 def clean_id(c: Column) -> Column:
@@ -36,27 +55,44 @@ def clean_id(c: Column) -> Column:
     return F.when(~v.isin(*UNKNOWN_IDS), v)
 
 
-def links(records: DataFrame, node: str, ids: Sequence[str], parent: str | None) -> DataFrame:
+def _held(rows: DataFrame, node: str, ids: Sequence[str]) -> DataFrame:
+    """Columns node, kind, key: the known ids of the records."""
+    keyed = [F.struct(F.lit(i).alias("kind"), clean_id(F.col(f"`{c}`")).alias("key")) for i, c in enumerate(ids)]
+    return rows.select(F.col(node).alias("node"), F.inline(F.array(*keyed))).where(F.col("key").isNotNull()).distinct()
+
+
+def _children(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    return rows.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("node"), F.col(parent).alias("parent")).distinct()
+
+
+def links(records: DataFrame, node: str, ids: Sequence[str], parent: str | None, earlier: State | None = None) -> DataFrame:
     """Edges (u > v) of records that share an id or are parent and child.
 
     Every id value is a star around the smallest record of each of ``SALT``
     parts, and a small star over those; a value that holds a third of all rows
     is therefore spread over ``SALT`` tasks.  Null and unknown ids link nothing,
-    nor does a parent that is no record, or the record itself.
+    nor does a parent that is no record, or the record itself.  With ``earlier``
+    there are edges to the components of earlier records as well: by an id, to a
+    parent, and from a parent that was awaited.
     """
-    keyed = [F.struct(F.lit(i).alias("kind"), clean_id(F.col(f"`{c}`")).alias("key")) for i, c in enumerate(ids)]
     rows = records.where(F.col(node).isNotNull())
     parts = []
-    if keyed:
-        held = rows.select(F.col(node).alias("node"), F.inline(F.array(*keyed))).where(F.col("key").isNotNull()).distinct()
+    if ids:
+        held = _held(rows, node, ids)
         w = Window.partitionBy("kind", "key", F.pmod(F.xxhash64("node"), F.lit(SALT)))
         star = held.withColumn("centre", F.min("node").over(w))
         whole = star.groupBy("kind", "key").agg(F.min("centre").alias("top"))
         parts.append(star.select(F.col("node").alias("u"), F.col("centre").alias("v")))
         parts.append(star.select("kind", "key", "centre").distinct().join(whole, ["kind", "key"]).select(F.col("centre").alias("u"), F.col("top").alias("v")))
+        if earlier is not None:
+            parts.append(whole.join(earlier.keys, ["kind", "key"]).select(F.col("top").alias("u"), F.col("component").alias("v")))
     if parent is not None:
-        child = rows.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("node"), F.col(parent).alias("parent")).distinct()
+        child = _children(rows, node, parent)
         known = rows.select(F.col(node).alias("parent")).distinct()
+        if earlier is not None:
+            came = known.select(F.col("parent").alias("u"), F.lit(WAITING).alias("kind"), F.col("parent").cast("string").alias("key"))
+            parts.append(came.join(earlier.keys, ["kind", "key"]).select("u", F.col("component").alias("v")))
+            known = known.union(earlier.nodes.select("node")).distinct()
         valid = materialize(child.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).join(known, "parent", "left_semi"))
         total = valid.agg(F.sum("n")).first()[0] or 0
         parts.append(lookup_join(child, valid, ["parent"], n_rows=total, weight="n").select(F.col("node").alias("u"), F.col("parent").alias("v")))
@@ -148,8 +184,8 @@ def assign_splits(members: DataFrame, shares: DataFrame, previous: DataFrame | N
     ``members`` has node, component, home and weight, one row per node (a null
     weight is 0); the home of a component is that of most of its weight, the
     smallest at a tie.  ``shares`` has home, train, val and test; a home that
-    is absent has 0.8, 0.1 and 0.1.  ``previous`` has node and split.  status is
-    kept, quarantined or new.
+    is absent has 0.8, 0.1 and 0.1.  ``previous`` has node and split; a component
+    with a quarantined record is quarantined.  status is kept, quarantined or new.
     """
     m = members.withColumn("weight", F.coalesce("weight", F.lit(0)).cast("double"))
     per_home = m.groupBy("component", "home").agg(F.sum("weight").alias("w"))
@@ -163,7 +199,7 @@ def assign_splits(members: DataFrame, shares: DataFrame, previous: DataFrame | N
         comps = comps.join(old, "component", "left")
     else:
         comps = comps.withColumn("lo", F.lit(None).cast("string")).withColumn("hi", F.lit(None).cast("string"))
-    comps = materialize(comps.withColumn("status", F.when(F.col("lo").isNull(), "new").when(F.col("lo") != F.col("hi"), "quarantined").otherwise("kept")))
+    comps = materialize(comps.withColumn("status", F.when(F.col("lo").isNull(), "new").when((F.col("lo") != F.col("hi")) | (F.col("lo") == QUARANTINE), "quarantined").otherwise("kept")))
     held = [F.sum(F.when((F.col("status") == "kept") & (F.col("lo") == s), F.col("weight")).otherwise(0.0)).alias(f"held_{s}") for s in SPLITS]
     usable = F.col("status") != "quarantined"
     homes = comps.where(usable).groupBy("home").agg(F.sum("weight").alias("total"), *held)
@@ -211,18 +247,74 @@ def split_records(
 ) -> DataFrame:
     """Columns node, component, split, status for every distinct record.
 
-    ``previous`` is an earlier result (node, component, split): the table that
-    is persisted between runs.  Records that are stored several times count
-    once.  An empty table gives no rows.
+    ``previous`` is an earlier result (node, component, split).  It has no ids,
+    so ``records`` must be all there are; ``update_splits`` takes new ones alone.
+    Records that are stored several times count once.  An empty table gives no
+    rows.
     """
     edges = links(records, node, ids, parent)
     found = components(edges, None if previous is None else previous.select("node", "component"))
     nodes = records.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(home).alias("home"), F.max(weight).alias("weight"))
     members = materialize(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    comps = assign_splits(members, shares, None if previous is None else previous.select("node", "split").where(F.col("split") != QUARANTINE))
+    comps = assign_splits(members, shares, None if previous is None else previous.select("node", "split"))
     return members.select("node", "component").join(comps.select("component", "split", "status"), "component").select("node", "component", "split", "status")
 
 
+def update_splits(
+    records: DataFrame, node: str, ids: Sequence[str], parent: str | None, home: str, weight: str, shares: DataFrame,
+    previous: State | None = None,
+) -> State:
+    """The tables after a batch, with all records of it and of earlier ones.
+
+    A record that comes again may bring further ids; ids it had stay linked.
+    """
+    rows = records.where(F.col(node).isNotNull())
+    found = components(links(records, node, ids, parent, previous), None if previous is None else previous.nodes.select("node", "component"))
+    every = rows.select(F.col(node).alias("node"), F.col(home).alias("home"), F.col(weight).alias("weight"))
+    if previous is not None:
+        every = every.unionByName(previous.nodes.select("node", "home", "weight"))
+    nodes = every.groupBy("node").agg(F.min("home").alias("home"), F.max("weight").alias("weight"))
+    members = materialize(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    comps = assign_splits(members, shares, None if previous is None else previous.nodes.select("node", "split"))
+    table = members.join(comps.select("component", "split", "status"), "component").select("node", "component", "home", "weight", "split", "status")
+    where = members.select("node", "component")
+    keys = where.select("component", F.lit(WAITING).alias("kind"), F.lit("").alias("key")).limit(0)
+    if ids:
+        keys = keys.unionByName(_held(rows, node, ids).join(where, "node").drop("node"))
+    if parent is not None:
+        keys = keys.unionByName(_children(rows, node, parent).join(where, "node").select("component", F.lit(WAITING).alias("kind"), F.col("parent").cast("string").alias("key")))
+    if previous is not None:
+        moved = where.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        keys = keys.unionByName(previous.keys.join(moved, "component").select(F.col("now").alias("component"), "kind", "key"))
+    there = nodes.select(F.lit(WAITING).alias("kind"), F.col("node").cast("string").alias("key"))
+    return State(table, keys.distinct().join(there, ["kind", "key"], "left_anti").select("kind", "key", "component"))
+
+
+def _runs(root: str) -> list[str]:
+    """Complete runs under ``root``, in order; nodes are written last."""
+    base = local(root)
+    return sorted(n for n in (os.listdir(base) if os.path.isdir(base) else []) if os.path.exists(os.path.join(base, n, "nodes", "_SUCCESS")))
+
+
+def write_state(state: State, root: str) -> State:
+    """Writes the tables as the next run under ``root``, a folder that all
+    executors share, and gives them as they are there."""
+    runs = _runs(root)
+    at = os.path.join(root, f"{int(runs[-1]) + 1 if runs else 0:06d}")
+    state.keys.write.mode("overwrite").parquet(f"{at}/keys")
+    state.nodes.write.mode("overwrite").parquet(f"{at}/nodes")
+    return read_state(state.nodes.sparkSession, root)
+
+
+def read_state(spark: SparkSession, root: str) -> State | None:
+    """The tables of the last complete run; None before the first."""
+    runs = _runs(root)
+    if not runs:
+        return None
+    at = os.path.join(root, runs[-1])
+    return State(spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/keys"))
+
+
 def shares_of(info: DataFrame, home: str, splits: str) -> DataFrame:
     """Shares train, val and test of each home from its JSON of index ranges.
 
