@@ -182,24 +182,28 @@ def validate(spark: SparkSession, root: str, *, strict: bool = True) -> Report:
         empty = d.episodes.join(d.stats.select("episode_index").distinct(), "episode_index", "left_anti")
         report.add_rows(problems(empty, WARNING, "empty_stats", F.col("episode_index"), F.format_string("episode %d: no statistics", "episode_index")))
     if strict and info.video_path:
-        report.add_all(video_checks(base, info))
+        report.add_rows(video_checks(d.episodes, info, base))
     report.summary = f"{version}: {info.total_episodes} episodes, {info.total_frames} frames, {info.total_tasks} tasks"
     return report
 
 
-def video_checks(base: str, info: L.DatasetInfo) -> list[tuple[str, str, str, str]]:
-    """Videos that should be there and are not, or are empty."""
-    found = []
+def video_checks(episodes: DataFrame, info: L.DatasetInfo, base: str) -> DataFrame:
+    """Videos that each episode and camera should have and that are absent or
+    empty; in v3.0 a warning where the metadata names no file."""
+    e = F.col("episode_index")
+    wanted = episodes.select(F.lit(None).cast("bigint").alias("episode_index"), F.lit("").alias("camera"), F.lit("").alias("path")).limit(0)
     for key in keys_of(info.features, "video"):
         if L.parse_version(info.codebase_version) == L.V21:
-            names = [L.fill(info.video_path, video_key=key, episode_chunk=e // max(1, info.chunks_size), episode_index=e) for e in range(info.total_episodes)]
+            path = L.path_column(info.video_path, video_key=F.lit(key), episode_chunk=L.chunk_of(e, info.chunks_size), episode_index=e)
         else:
-            import glob
-
-            pattern = L.fill(L.VIDEO_PATH[L.V30].replace("{chunk_index:03d}", "*").replace("{file_index:03d}", "*"), video_key=key)
-            names = [os.path.relpath(p, base) for p in glob.glob(os.path.join(base, pattern))] or [f"videos/{key}"]
-        found += [(ERROR, "video", n, f"missing or empty {n}") for n in names if not os.path.isfile(os.path.join(base, n)) or not os.path.getsize(os.path.join(base, n))]
-    return found
+            at = [F.col(f"`{c}`").cast("bigint") if c in episodes.columns else F.lit(None).cast("bigint") for c in (f"videos/{key}/chunk_index", f"videos/{key}/file_index")]
+            path = F.when((at[0] >= 0) & (at[1] >= 0), L.path_column(L.VIDEO_PATH[L.V30], video_key=F.lit(key), chunk_index=at[0], file_index=at[1]))
+        wanted = wanted.unionByName(episodes.select(e, F.lit(key).alias("camera"), path.alias("path")))
+    there = [(os.path.relpath(os.path.join(at, n), base),) for at, _, names in os.walk(os.path.join(base, "videos")) for n in names if os.path.getsize(os.path.join(at, n))]
+    files = episodes.sparkSession.createDataFrame(there, "path string")
+    unnamed = problems(wanted.where(F.col("path").isNull()), WARNING, "video_meta", e, F.format_string("episode %d: no video metadata of %s", e, "camera"))
+    gone = wanted.where(F.col("path").isNotNull()).join(files, "path", "left_anti")
+    return unnamed.unionByName(problems(gone, ERROR, "video", F.col("path"), F.format_string("episode %d: missing or empty %s", e, "path")))
 
 
 def schema_diff(spark: SparkSession, a: L.DatasetInfo, b: L.DatasetInfo) -> DataFrame:

@@ -91,7 +91,7 @@ def of_dataset(episodes: DataFrame, info: L.DatasetInfo, root: str) -> DataFrame
         if L.parse_version(info.codebase_version) == L.V21:
             out, start, stop = L.path_column(info.video_path, video_key=F.lit(key), episode_chunk=L.chunk_of(e, info.chunks_size), episode_index=e), null, null
         else:
-            c = lambda n: F.col(f"`videos/{key}/{n}`")  # noqa: B023, E731
+            c = lambda n: F.col(f"`videos/{key}/{n}`") if f"videos/{key}/{n}" in episodes.columns else F.lit(None)  # noqa: B023, E731
             out, start, stop = L.path_column(info.video_path, video_key=F.lit(key), chunk_index=c("chunk_index"), file_index=c("file_index")), c("from_timestamp"), c("to_timestamp")
         parts.append(episodes.select(e, F.lit(key).alias("camera"), F.concat(base, out).alias("path"), start.cast("double").alias("start"), stop.cast("double").alias("stop")))
     found = parts[0]
