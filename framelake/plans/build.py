@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
-from ..functions.features import Features, check_columns, check_media, data_columns, spark_type, with_defaults
+from ..functions.features import Features, check_columns, check_media, data_columns, keys_of, spark_type, with_defaults
 from ..operators import indexing as X
 from ..operators import rotation, stats, tasks
 from ..operators.common import materialize
@@ -49,13 +49,14 @@ def assign_data_files(lengths: DataFrame, info: L.DatasetInfo, *, most: int = 0)
 
 def build(
     steps: DataFrame, features: Features, fps: int, *, episode: str, order: Sequence[str], task: str | None, version: str = L.V30,
-    robot_type: str | None = None, use_videos: bool = True, episodes_per_file: int = 0, with_stats: bool = True, videos: DataFrame | None = None, **limits: int,
+    robot_type: str | None = None, use_videos: bool = True, episodes_per_file: int = 0, with_stats: bool = True, full_images: bool = False, videos: DataFrame | None = None, **limits: int,
 ) -> Dataset:
     """A dataset from raw rows: one episode for each value of ``episode``.
 
     Episodes are numbered in the order of their values, frames by ``order``,
     which must be total.  A missing task is the empty one.  Statistics are made
-    once, from the final numbers.  ``videos`` has the videos of the final episode
+    once, from the final numbers; those of images from sampled frames, or from all
+    with ``full_images``.  ``videos`` has the videos of the final episode
     numbers (see ``plans.videos``).
     """
     check_media(features, use_videos)
@@ -89,7 +90,8 @@ def build(
         cameras = sum(v.dtype == "video" for v in features.values())
         info = replace(info, total_chunks=max(0, -(-info.total_episodes // info.chunks_size)), total_videos=cameras * info.total_episodes)
     derive = stats.numeric_features(info.features) if with_stats else None
-    return Dataset(info, typed, episodes, dictionary, None, derive=derive, videos=videos)
+    images = tuple(keys_of(info.features, "image")) if with_stats else ()
+    return Dataset(info, typed, episodes, dictionary, None, derive=derive, videos=videos, images=images, full_images=full_images)
 
 
 def save(dataset: Dataset, root: str, *, force: bool = False) -> Dataset:
@@ -113,7 +115,7 @@ def convert(dataset: Dataset, version: str, **limits: int) -> Dataset:
     else:
         cameras = sum(v.dtype == "video" for v in info.features.values())
         info = replace(info, total_chunks=-(-info.total_episodes // max(1, info.chunks_size)), total_videos=cameras * info.total_episodes)
-    return Dataset(info, dataset.frames, materialize(base), dataset.tasks, dataset.stats, derive=dataset.derive, videos=dataset.videos)
+    return Dataset(info, dataset.frames, materialize(base), dataset.tasks, dataset.stats, derive=dataset.derive, videos=dataset.videos, images=dataset.images, full_images=dataset.full_images)
 
 
 def check_compatible(infos: Sequence[L.DatasetInfo]) -> None:

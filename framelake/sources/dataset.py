@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions.features import keys_of
+from ..functions.images import image_stats
 from ..operators.indexing import running_sum
 from ..operators.stats import STATS, episode_stats, unflatten_stats
 from .files import local, normalise_images
@@ -22,6 +23,7 @@ class Dataset:
 
     ``derive`` names features (with their rank) whose statistics are yet to be
     made from the frames; writing makes them from the files just written.
+    ``images`` names the image features likewise, of sampled or all frames.
     """
 
     info: L.DatasetInfo
@@ -32,13 +34,16 @@ class Dataset:
     root: str | None = None
     derive: dict[str, int] | None = None
     videos: DataFrame | None = None
+    images: tuple[str, ...] = ()
+    full_images: bool = False
 
     def long_stats(self) -> DataFrame | None:
         """All statistics, those to be derived included."""
-        if not self.derive:
-            return self.stats
-        made = episode_stats(self.frames, self.derive)
-        return made if self.stats is None else self.stats.unionByName(made)
+        out = self.stats
+        made = [episode_stats(self.frames, self.derive)] if self.derive else []
+        for m in made + [image_stats(self.frames, k, full=self.full_images) for k in self.images]:
+            out = m if out is None else out.unionByName(m)
+        return out
 
 
 EMPTY_STATS = "episode_index bigint, feature string, dim int, count bigint, " + ", ".join(f"{s} double" for s in STATS)

@@ -238,4 +238,4 @@ def write_dataset(dataset: Dataset, root: str) -> Dataset:
     if stats is not None:
         write_stats(root, dataset_stats(stats), info.features)
     write_info(root, info)
-    return replace(written, stats=stats, derive=None)
+    return replace(written, stats=stats, derive=None, images=())
