@@ -1,21 +1,23 @@
 """References to records that do not exist.
 
 Orphans are found without shuffling the referring rows by their (skewed) keys:
-references are first counted per key, which combines on the map side, and only
-the distinct keys meet the target table.  Keys that are missing, deleted or
-later than one of their references are *suspect*; the rows of suspect keys are
-then fetched by a broadcast if the suspects are few or heavy, and by a shuffle
-join for the remaining keys, and both parts are united.
+references are counted per key and period, which combines on the map side.  Of
+these counts, those of heavy keys are checked against the targets by broadcast
+and those of the remaining keys by a shuffle join; both give the *suspect*
+groups of references: keys that are missing, deleted, or later than the first
+reference of the period.  The rows of suspect groups, and only those, are read
+again, because copies of a row count once and only some rows of a group may be
+earlier than their target.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize
+from .common import HEAVY_PARTS, lookup_join, materialize
 
 MISSING, DELETED, LATE = "missing", "deleted", "late"
 
@@ -49,69 +51,89 @@ def target_status(
 
 
 def reference_profile(refs: DataFrame, keys: Sequence[str], seen: str) -> DataFrame:
-    """References per key: how many, and the earliest that refers to it."""
-    return refs.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+    """References per key and ``__period``: how many, and the earliest of them."""
+    return refs.groupBy(*[F.col(f"`{k}`") for k in keys], "__period").agg(
         F.count(F.lit(1)).alias("__n"), F.min(seen).alias("__first_seen")
     )
 
 
+def _checked(profile: DataFrame, targets: DataFrame, keys: list[str], n_rows: int, *, available_at: str | None, deleted_at: str | None) -> DataFrame:
+    """The profile with what its keys find among the targets.
+
+    A key with at least ``1/HEAVY_PARTS`` of all references is heavy, so there
+    are at most ``HEAVY_PARTS`` of them: they go to the targets by broadcast and
+    neither they nor the targets are shuffled for them.  The others meet the
+    targets in a shuffle join by key, where each has a row for each period only.
+    """
+    cols = [F.col(f"`{k}`") for k in keys]
+    weight = profile.groupBy(*cols).agg(F.sum("__n").alias("__w"))
+    heavy = materialize(weight.where(F.col("__w") >= F.lit(max(1, n_rows // HEAVY_PARTS))).select(*cols))
+    hot = F.broadcast(heavy)
+    status = {"available_at": available_at, "deleted_at": deleted_at}
+    heavy_status = target_status(targets.join(hot, keys, "left_semi"), keys, **status)
+    heavy_found = profile.join(hot, keys, "left_semi").join(F.broadcast(heavy_status), keys, "left")
+    light_found = profile.join(hot, keys, "left_anti").join(target_status(targets, keys, **status), keys, "left")
+    return heavy_found.unionByName(light_found)
+
+
 def orphan_references(
     refs: DataFrame,
     targets: DataFrame,
     keys: Sequence[str],
     *,
     seen: str,
+    period: Column | None = None,
     available_at: str | None = "ingested_at",
     deleted_at: str | None = "deleted_at",
 ) -> DataFrame:
     """Rows of ``refs`` whose key has no valid target, with a ``reason``.
 
-    ``refs`` and ``targets`` share the key columns.  The reason is the first
-    that holds of ``missing`` (no such key; a reference with a null part in a
-    composite key matches none), ``deleted`` (the target is marked deleted) and
-    ``late`` (the target arrived after the referring row's ``seen``).  A null
-    ``seen`` or arrival is never late.  A column ``reason`` of ``refs`` is replaced.  Empty tables give no rows, or every
-    reference as missing.  Repeated rows come out as often as they went in.
+    ``refs`` and ``targets`` share the key columns; several fields of one table
+    are checked in the same scan if the field's name is one of the keys.  The
+    reason is the first that holds of ``missing`` (no such key; a reference with
+    a null part in a composite key matches none), ``deleted`` (the target is
+    marked deleted) and ``late`` (the target arrived after the referring row's
+    ``seen``).  A null ``seen`` or arrival is never late.  ``period`` groups the
+    references that are counted together.  A column ``reason`` of ``refs`` is
+    replaced.  Empty tables give no rows, or every reference as missing.
+    Repeated rows come out as often as they went in.
     """
     keys = list(keys)
     refs = refs.drop("reason")
-    profile = reference_profile(refs, keys, seen)
-    status = target_status(targets, keys, available_at=available_at, deleted_at=deleted_at)
+    names = refs.columns
     q = [F.col(f"`{k}`") for k in keys]
     has_null = F.lit(False)
     for c in q:
         has_null = has_null | c.isNull()
+    # a hash has no nulls, and periods that share one are merely counted together
+    named = refs.where(~has_null).withColumn("__period", F.hash(F.lit(0) if period is None else period))
+    profile = materialize(reference_profile(named, keys, seen))
+    n_rows = profile.agg(F.sum("__n")).first()[0] or 0
+    found = _checked(profile, targets, keys, n_rows, available_at=available_at, deleted_at=deleted_at)
     suspects = materialize(
-        profile.where(~has_null)
-        .join(status, keys, "left")
-        .where(
-            F.col("__present").isNull()
-            | F.col("__deleted")
-            | (F.col("__available") > F.col("__first_seen"))
-        )
-        .select(*q, "__n", "__present", "__deleted", "__available")
+        found.where(F.col("__present").isNull() | F.col("__deleted") | (F.col("__available") > F.col("__first_seen")))
+        .select(*q, "__period", "__n", "__present", "__deleted", "__available")
     )
-    n_rows = profile.agg(F.sum("__n")).first()[0] or 0
-    whole = refs.where(~has_null)
-    hit = lookup_join(whole, suspects, keys, n_rows=n_rows, weight="__n")
+    hit = lookup_join(named, suspects, [*keys, "__period"], n_rows=n_rows, weight="__n")
     reason = (
         F.when(F.col("__present").isNull(), MISSING)
         .when(F.col("__deleted"), DELETED)
         .when(F.col("__available") > F.col(seen), LATE)
     )
-    found = (
+    orphans = (
         hit.withColumn("reason", reason)
         .where(F.col("reason").isNotNull())
-        .select(*[F.col(f"`{c}`") for c in refs.columns], "reason")
+        .select(*[F.col(f"`{c}`") for c in names], "reason")
     )
     if len(keys) == 1:
-        return found
+        return orphans
     partial = refs.where(has_null).withColumn("reason", F.lit(MISSING))
-    return found.unionByName(partial)
+    return orphans.unionByName(partial)
 
 
 def orphan_counts(orphans: DataFrame, row_key: str, by: Sequence[str]) -> DataFrame:
-    """Distinct orphan references per ``by`` columns; the orphans are few rows."""
+    """Distinct orphan references per ``by`` columns, combined on the map side
+    first per row and then per group, so that a large group is no single task."""
     return (
         orphans.select(*by, row_key).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_orphans"))
     )

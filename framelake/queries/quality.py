@@ -16,24 +16,23 @@ from .base import table
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans of both tables; the two fields of frames share every scan."""
     frames, episodes = table(spark, d, "frames"), table(spark, d, "episodes")
     tasks, files = table(spark, d, "tasks"), table(spark, d, "data_files")
-    parts = []
-    for field, targets in (("task_index", tasks), ("episode_index", episodes)):
-        refs = frames.where(F.col(field).isNotNull()).select(
-            F.col("index").alias("row_key"), F.col(field).alias("k"), "ingested_at", "recorded_at"
-        )
-        found = R.orphan_references(
-            refs, targets.select(F.col(field).alias("k"), "ingested_at", "deleted_at"), ["k"], seen="ingested_at"
-        )
-        parts.append(found.select(F.lit("frames").alias("table_name"), F.lit(field).alias("field"), "row_key", "reason", "recorded_at"))
+    month = F.year("recorded_at") * 12 + F.month("recorded_at")
+    times = ("ingested_at", "deleted_at")
+    fields = [F.struct(F.lit(f).alias("field"), F.col(f).alias("k")) for f in ("task_index", "episode_index")]
+    refs = frames.select(F.col("index").alias("row_key"), "ingested_at", "recorded_at", F.inline(F.array(*fields))).where(F.col("k").isNotNull())
+    targets = [t.select(F.lit(f).alias("field"), F.col(f).alias("k"), *times) for f, t in (("task_index", tasks), ("episode_index", episodes))]
+    found = R.orphan_references(refs, targets[0].unionByName(targets[1]), ["field", "k"], seen="ingested_at", period=month)
+    parts = [found.select(F.lit("frames").alias("table_name"), "field", "row_key", "reason", "recorded_at")]
     cols = [F.col("repo_id").alias("k0"), F.col("`data/chunk_index`").alias("k1"), F.col("`data/file_index`").alias("k2")]
     refs = episodes.where(F.col("`data/file_index`").isNotNull()).select(
         F.col("episode_index").alias("row_key"), *cols, "ingested_at", "recorded_at"
     )
-    found = R.orphan_references(refs, files.select(*cols, "ingested_at", "deleted_at"), ["k0", "k1", "k2"], seen="ingested_at")
+    found = R.orphan_references(refs, files.select(*cols, *times), ["k0", "k1", "k2"], seen="ingested_at", period=month)
     parts.append(found.select(F.lit("episodes").alias("table_name"), F.lit("data/file_index").alias("field"), "row_key", "reason", "recorded_at"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return parts[0].unionByName(parts[1])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
