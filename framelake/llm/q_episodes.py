@@ -184,12 +184,14 @@ _FIELD_SQL = r"(?s)^\s*[\x22\x27]?([\p{L}_][\p{L}\p{N}_.\-]*)[\x22\x27]?\s*[:=](
 _P3 = f"""
 WITH b AS (SELECT DISTINCT task_index, task, regexp_replace(regexp_replace(task, '{_INVISIBLE_SQL}', '', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS bare FROM tasks WHERE task IS NOT NULL),
 w AS (SELECT *, {_words_sql('task')} AS words, regexp_full_match(bare, '(?s)\\{{.*\\}}') AND json_valid(bare) AS js,
- list_filter(string_split_regex(bare, CASE WHEN regexp_matches(bare, '[;|]') THEN '[;|]' WHEN regexp_matches(bare, '[\\r\\n]') THEN '[\\r\\n]+' ELSE ',' END), lambda p: length(trim(p)) > 0) AS parts FROM b),
+ regexp_replace(bare, '^[\\s\\p{{Z}};|,]+|[\\s\\p{{Z}};|,]+$', '', 'g') AS inside FROM b),
+d AS (SELECT *, list_filter(list_transform(['[;|]', '[\\r\\n]+', ','], lambda g: list_filter(string_split_regex(inside, g), lambda p: regexp_matches(p, '[^\\s\\p{{Z}}]'))),
+ lambda l: len(l) >= 2 AND len(list_filter(l, lambda p: NOT regexp_matches(p, '{_FIELD_SQL}'))) = 0)[1] AS parts FROM w),
 k AS (SELECT task_index, task, CASE
  WHEN words = '' THEN NULL
  WHEN js AND len(json_keys(bare)) > 0 THEN 'R' || array_to_string(list_sort(list_transform(json_keys(bare), lambda f: {_words_sql('f')} || chr(31) || {_words_sql("coalesce(json_extract_string(bare, '$.' || chr(34) || f || chr(34)), '')")})), chr(30))
- WHEN len(parts) >= 2 AND len(list_filter(parts, lambda p: NOT regexp_matches(p, '{_FIELD_SQL}'))) = 0 THEN 'R' || array_to_string(list_sort(list_transform(parts, lambda p: {_words_sql(f"regexp_extract(p, '{_FIELD_SQL}', 1)")} || chr(31) || {_words_sql(f"regexp_extract(p, '{_FIELD_SQL}', 2)")})), chr(30))
- ELSE 'S' || words END AS form FROM w)
+ WHEN parts IS NOT NULL THEN 'R' || array_to_string(list_sort(list_transform(parts, lambda p: {_words_sql(f"regexp_extract(p, '{_FIELD_SQL}', 1)")} || chr(31) || {_words_sql(f"regexp_extract(p, '{_FIELD_SQL}', 2)")})), chr(30))
+ ELSE 'S' || words END AS form FROM d)
 """
 
 QUERIES = {

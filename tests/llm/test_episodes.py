@@ -146,8 +146,8 @@ def test_wrong_quantiles(spark):
 SAME = [
     ["Push the lid at 1.5 m", "push  the LID, at 1.5 m.", "push_the_lid_at_1.5_m", "“Push the ​lid (at 1.5 m)”…", "push-the-lid-at-1.5-m"],
     ["Push the lid at 15 m"], ["Push the lid at -1.5 m"], ["Push the lids at 1.5 m"], ["lid the push at 1.5 m"],
-    ['{"action": "push", "note": "at -5 N"}', "note=At -5 n; action=PUSH;", "Action: push | NOTE: at -5 N", "action = push ;note = at -5 N", "note=at -5 N,\taction=push", '{"note":"at -5 N" ,"action":"push"}'],
-    ["action=push; note=at 5 N"], ["action push note at -5 N"], ["Stop: now"], ["now stop"],
+    ['{"action": "push", "note": "at -5 N"}', "note=At -5 n; action=PUSH;", "Action: push | NOTE: at -5 N", "action = push ;note = at -5 N", "note=at -5 N,\taction=push", '{"note":"at -5 N" ,"action":"push"}', "note=at -5 N,\taction=push;", "action=push,note=at\n-5 N", "| action: push\nnote: at -5 N ,"],
+    ["action=push; note=at 5 N"], ["action push note at -5 N"], ["Stop: now"], ["now stop"], ["open the caf\u00e9", "Open the cafe\u0301"], ["open the cafe"],
 ]
 
 
