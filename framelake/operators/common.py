@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy if it holds at least this fraction of all rows: there are at
@@ -41,6 +42,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a table written in the shared folder.
+
+    Unlike a checkpoint it is kept in columns, so that what reads it later takes
+    only the columns it needs.  The table goes when the session ends.
+    """
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def partitions_for(df: DataFrame, target: int = 32 << 20) -> int:
     """Partitions of an explicit shuffle of ``df``: the session's number, or
     more where the planner's estimate of its size asks for more than that."""
@@ -54,13 +69,6 @@ def partitions_for(df: DataFrame, target: int = 32 << 20) -> int:
     return max(least, min(100_000, -(-size // target)))
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
