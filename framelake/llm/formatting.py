@@ -34,7 +34,7 @@ _DOUBTFUL = (
     r"\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{FB9}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
 )
 _KEY = r"[\p{L}_][\p{L}\p{N}_.\-]*"
-_FIELD = rf"^\s*[\"']?({_KEY})[\"']?\s*[:=](.*)$"
+_FIELD = rf"^\s*[\"']?({_KEY})[\"']?\s*[:=]((?s:.*))$"
 
 
 def canonical_words(c: Column) -> Column:
