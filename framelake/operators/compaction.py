@@ -1,11 +1,12 @@
 """Consolidation of many small files into few well-sized ones.
 
-Steps are read from tiny JSON-lines files, each step is kept once, and steps are
-clustered on a Hilbert curve over their coordinates, so that a written file
-covers a compact region of episodes and frames.  The rows are range-shuffled by
-the curve, with borders from an exact histogram of the codes instead of a
-sample, and files are cut from the same histogram.  Row digests of source and
-destination are compared at the end.
+Steps are read from tiny JSON-lines files, each step is kept once, and the steps
+of a repo are clustered on a Hilbert curve over their coordinates, so that a
+written file covers a compact region of episodes and frames.  An exact histogram
+of bytes per cell of the curve, several cells to a file, gives the borders of
+the files, and the files' sizes those of the range shuffle: the rows move once,
+to the task that writes their file.  Row digests of source and destination are
+compared at the end.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions_for
+from .common import BROADCAST_ROWS, lookup_join, materialize, partitions_for
+from .indexing import running_sum
 
-#: Bits of each coordinate of a code, and of the cells the histogram counts.
+#: Bits of each coordinate of a code.
 BITS = 16
-CELL_BITS = 12
+#: Cells of the histogram for each file that a repo needs.
+CELLS = 64
+#: A cell with more than this part of a file is counted by its codes instead.
+FINE = 1 / 32
 
 
 def _number(variant: Column, path: str) -> Column:
@@ -78,84 +83,86 @@ def hilbert_index(x: np.ndarray, y: np.ndarray, bits: int = BITS) -> np.ndarray:
     return d
 
 
-def bounds(rows: DataFrame, x: str, y: str) -> tuple[int, int, int, int]:
-    """Smallest and largest x and y; zeros for an empty table."""
-    found = rows.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    return tuple(0 if v is None else v for v in found)
+@F.pandas_udf(T.LongType())
+def _code(x: pd.Series, y: pd.Series, x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
+    def scale(v: pd.Series, lo: pd.Series, hi: pd.Series) -> np.ndarray:
+        v, lo, hi = (s.to_numpy(dtype=np.int64) for s in (v, lo, hi))
+        span = np.maximum(1, hi - lo)
+        narrow = span < (1 << BITS)
+        return np.where(narrow, v - lo, ((v - lo).astype(np.float64) * ((1 << BITS) - 1) / span).astype(np.int64))
 
+    return pd.Series(hilbert_index(scale(x, x0, x1), scale(y, y0, y1)))
 
-def hilbert_code(x: str, y: str, box: tuple[int, int, int, int]) -> Column:
-    """The Hilbert code of two integer columns, scaled to their range."""
-    x0, x1, y0, y1 = box
 
-    @F.pandas_udf(T.LongType())
-    def code(a: pd.Series, b: pd.Series) -> pd.Series:
-        def scale(s: pd.Series, lo: int, hi: int) -> np.ndarray:
-            span = max(1, hi - lo)
-            v = s.to_numpy(dtype=np.int64) - lo
-            return v if span < (1 << BITS) else (v.astype(np.float64) * ((1 << BITS) - 1) / span).astype(np.int64)
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-        return pd.Series(hilbert_index(scale(a, x0, x1), scale(b, y0, y1)))
 
-    return code(F.col(x), F.col(y))
+def assign_files(steps: DataFrame, limits: DataFrame, x: str = "episode_index", y: str = "frame_index", *, default_limit_mb: int = 100, default_chunks: int = 1000) -> DataFrame:
+    """Adds code, file (ordinal in the repo), chunk_index, file_index and part.
 
-
-def cluster(rows: DataFrame, x: str, y: str, *, parts: int | None = None) -> DataFrame:
-    """Range-shuffle rows along the Hilbert curve by an exact code histogram.
-
-    Adds ``code`` and ``part``.  The histogram has at most ``2**CELL_BITS``
-    cells, whatever the input; a cell that is heavier than a part is divided
-    by the row's hash.  Rows of equal coordinates stay in one part.
-    """
-    spark = rows.sparkSession
-    # only the two coordinates are kept for range and histogram; what is large
-    # in a row passes once, in the shuffle
-    keys = materialize(rows.select(x, y))
-    parts = parts or partitions_for(rows)
-    code = hilbert_code(x, y, bounds(keys, x, y))
-    coded = rows.withColumn("code", code)
-    cell = F.shiftright("code", 2 * BITS - CELL_BITS)
-    counts = {r[0]: r[1] for r in keys.withColumn("code", code).groupBy(cell.alias("cell")).agg(F.count(F.lit(1))).collect()}  # <= 2**CELL_BITS rows
-    share = max(1.0, sum(counts.values()) / parts)
-    table, upto = [], 0
-    for c in sorted(counts):
-        first, last = int(upto / share), max(int(upto / share), int(np.ceil((upto + counts[c]) / share)) - 1)
-        table.append((c, min(first, parts - 1), min(last, parts - 1) - min(first, parts - 1) + 1))
-        upto += counts[c]
-    if not table:
-        return coded.withColumn("part", F.lit(0))
-    places = F.broadcast(spark.createDataFrame(table, "cell bigint, first int, n int"))
-    placed = coded.withColumn("cell", cell).join(places, "cell").withColumn("part", (F.col("first") + F.pmod(F.xxhash64(x, y), F.col("n"))).cast("int"))
-    return placed.drop("cell", "first", "n").repartitionById(parts, F.col("part"))
-
-
-def assign_files(steps: DataFrame, limits: DataFrame, *, default_limit_mb: int = 100, default_chunks: int = 1000) -> DataFrame:
-    """Adds file (ordinal in the repo), chunk_index and file_index.
-
-    ``steps`` has repo_id, code and step; ``limits`` has repo_id, limit_mb and
-    chunks_size, of which values that are null or not positive mean the
-    defaults.  A file is cut where the running size of the code cells passes
-    the limit; a cell that is larger is divided by the hash of its steps.  The
-    sizes are those of the steps' text with a line end.
+    ``steps`` has repo_id, ``x``, ``y`` (integers) and step, and should be a
+    stored table, of which only coordinates and lengths are read to plan.
+    ``limits`` has repo_id, limit_mb and chunks_size, of which values that are
+    null or not positive mean the defaults.  A repo gets as many files as its
+    size needs, filled evenly; a file is a range of the repo's curve, cut
+    between two cells of the histogram, and is above the limit only where the
+    steps of one code alone are, which are divided by hash.  Sizes are those of
+    the steps' text with a line end.  ``part`` numbers the tasks of the range
+    shuffle, of equal sizes and each with whole files.  A null repo is one of
+    its own; an empty table gives no rows; columns of ``steps`` with the names
+    of the added ones are replaced.
     """
+    repo = F.when(F.col("repo_id").isNull(), "-").otherwise(F.concat(F.lit("+"), "repo_id")).alias("__repo")
     limit = F.when(F.col("limit_mb") > 0, F.col("limit_mb")).otherwise(default_limit_mb) * F.lit(1 << 20)
-    caps = limits.select(F.col("repo_id").alias("r"), limit.alias("cap"), F.when(F.col("chunks_size") > 0, F.col("chunks_size")).otherwise(default_chunks).alias("cs"))
-    sized = steps.withColumn("cell", F.shiftright("code", 2 * BITS - CELL_BITS)).withColumn("bytes", F.octet_length("step") + 1)
-    cells = sized.groupBy("repo_id", "cell").agg(F.sum("bytes").alias("size"))
-    same = F.col("repo_id").eqNullSafe(F.col("r"))
-    cells = cells.join(caps, same, "left").withColumn("cap", F.coalesce("cap", F.lit(default_limit_mb * (1 << 20)))).withColumn("cs", F.coalesce("cs", F.lit(default_chunks)))
-    w = Window.partitionBy("repo_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # <= 2**CELL_BITS cells
-    total = F.sum("size").over(Window.partitionBy("repo_id"))
-    # as many files as the size needs, filled evenly, so that no last file is tiny
-    even = F.greatest(F.lit(1.0), total / F.ceil(total / F.col("cap")))
-    cells = cells.withColumn("upto", F.sum("size").over(w)).withColumn("even", even)
-    first = F.floor((F.col("upto") - F.col("size")) / F.col("even"))
+    caps = limits.select(repo, limit.alias("cap"), F.when(F.col("chunks_size") > 0, F.col("chunks_size")).otherwise(default_chunks).alias("cs"))
+    size = (F.octet_length("step") + 1).cast("bigint")
+    keys = steps.select(repo, F.col(x), F.col(y), size.alias("bytes"))
+    box = keys.groupBy("__repo").agg(F.sum("bytes").alias("total"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    n_files = F.ceil(F.col("total") * (1 + FINE) / F.coalesce("cap", F.lit(default_limit_mb << 20)))
+    level = F.least(F.lit(2 * BITS), F.ceil(F.log2(n_files * CELLS)).cast("int"))
+    box = box.join(caps, "__repo", "left").select(
+        "__repo", "total", "x0", "x1", "y0", "y1", F.greatest(F.lit(1.0), F.col("total") / n_files).alias("even"), (2 * BITS - level).alias("shift"), F.coalesce("cs", F.lit(default_chunks)).alias("cs")
+    )
+    side = materialize(_placed_repos(box))  # one row for each repo
+    whole = side.agg(F.sum("total")).first()[0] or 1
+    side = _small(side)
+    coded = lambda rows: rows.join(side, "__repo").withColumn("code", _code(x, y, "x0", "x1", "y0", "y1")).withColumn("cell", F.expr("shiftleft(shiftright(code, shift), shift)"))
+    cells = materialize(coded(keys).groupBy("__repo", "cell", "even").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    n_rows = cells.agg(F.sum("n")).first()[0] or 0
+    coarse = F.col("bytes") <= F.col("even") * FINE
+    heavy = cells.where(~coarse).select("__repo", "cell", F.lit(True).alias("heavy"), "n")
+    marked = lambda rows: lookup_join(coded(rows), heavy, ["__repo", "cell"], n_rows=n_rows, weight="n", how="left").withColumn("unit", F.when(F.col("heavy"), F.col("code")).otherwise(F.col("cell")))
+    fine = marked(keys).where("heavy").groupBy("__repo", "unit", "even").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    units = cells.where(coarse).select("__repo", F.col("cell").alias("unit"), "even", "bytes", "n").unionByName(fine)
+    units = running_sum(units, "unit", "bytes", "upto", group=["__repo"], block=1 << 20)
+    first = F.floor((F.col("upto") - F.col("bytes")) / F.col("even") + 1e-9)
     last = F.greatest(first, F.ceil(F.col("upto") / F.col("even") - 1e-9) - 1)
-    cells = materialize(cells.select(F.col("repo_id").alias("r"), F.col("cell").alias("c"), first.alias("first"), F.when(F.col("size") > F.col("even"), last - first + 1).otherwise(1).alias("n"), "cs"))
-    joined = sized.join(cells, F.col("repo_id").eqNullSafe(F.col("r")) & (F.col("cell") == F.col("c")))
-    file = (F.col("first") + F.pmod(F.xxhash64("episode_index", "frame_index"), F.col("n"))).cast("bigint")
-    numbered = joined.withColumn("file", file)
-    return numbered.withColumn("chunk_index", F.floor(F.col("file") / F.col("cs")).cast("bigint")).withColumn("file_index", (F.col("file") % F.col("cs")).cast("bigint")).drop("r", "c", "first", "n", "cs", "cell")
+    spread = F.when(F.col("bytes") > F.col("even"), last - first + 1).otherwise(F.lit(1))
+    units = materialize(units.select("__repo", "unit", first.alias("first"), spread.alias("spread"), "n"))
+    placed = lookup_join(marked(steps.withColumn("__repo", repo)), units, ["__repo", "unit"], n_rows=n_rows, weight="n")
+    file = (F.col("first") + F.pmod(F.xxhash64(x, y), F.col("spread"))).cast("bigint")
+    parts = partitions_for(steps)
+    part = F.least(F.lit(parts - 1), F.floor((F.col("before") + F.col("file") * F.col("even")) * F.lit(parts) / F.lit(whole))).cast("int")
+    return placed.withColumn("__file", file).select(
+        *[F.col(f"`{c}`") for c in steps.columns if c not in ("code", "file", "chunk_index", "file_index", "part")], "code", F.col("__file").alias("file"), F.floor(F.col("__file") / F.col("cs")).cast("bigint").alias("chunk_index"),
+        (F.col("__file") % F.col("cs")).cast("bigint").alias("file_index"), "before", "even",
+    ).withColumn("part", part).drop("before", "even")
+
+
+def _placed_repos(box: DataFrame) -> DataFrame:
+    """Adds before, the size of all repos before a repo, in any fixed order: by
+    two levels of sums, over buckets and inside them."""
+    cut = box.withColumn("__b", F.pmod(F.xxhash64("__repo"), F.lit(1024)))
+    sums = cut.groupBy("__b").agg(F.sum("total").alias("t"))
+    over = sums.select("__b", (F.sum("t").over(Window.orderBy("__b")) - F.col("t")).alias("__over"))  # 1024 rows
+    inner = F.sum("total").over(Window.partitionBy("__b").orderBy("__repo").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")
+    return cut.withColumn("__in", inner).join(over, "__b").withColumn("before", F.col("__in") + F.col("__over")).drop("__b", "__in", "__over")
+
+
+def range_shuffle(placed: DataFrame, steps: DataFrame) -> DataFrame:
+    """The rows in the tasks that ``part`` numbers; every file is in one task."""
+    return placed.repartitionById(partitions_for(steps), F.col("part"))
 
 
 def fill_template(template: Column, chunk: Column, file: Column, ordinal: Column) -> Column:
@@ -181,15 +188,16 @@ def digest(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def write_files(steps: DataFrame, root: str, by: str = "path") -> DataFrame:
+def write_files(placed: DataFrame, steps: DataFrame, root: str, by: str = "path") -> DataFrame:
     """Writes the steps of each ``path`` to one parquet file under ``root``.
 
-    ``root`` is a folder that all executors share.  One task writes a file from
-    rows that arrive grouped by path; each goes to a name of its own first and
-    is renamed when complete, so a task that runs twice does no harm.  Gives
-    path and rows written.
+    ``placed`` comes from ``assign_files`` of ``steps``, with a path for each
+    file; the range shuffle is the only one.  ``root`` is a folder that all executors share.
+    Each file goes to a name of its own first and is renamed when complete, so a
+    task that runs twice does no harm.  Gives path, rows written and the range
+    of codes.
     """
-    ordered = steps.repartition(by).sortWithinPartitions(by, "code", "episode_index", "frame_index").select(by, "episode_index", "frame_index", "repo_id", "step")
+    ordered = range_shuffle(placed, steps).sortWithinPartitions(by, "code", "episode_index", "frame_index").select(by, "episode_index", "frame_index", "repo_id", "step", "code")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -197,13 +205,13 @@ def write_files(steps: DataFrame, root: str, by: str = "path") -> DataFrame:
         import pyarrow.parquet as pq
 
         schema = pa.schema([("episode_index", pa.int64()), ("frame_index", pa.int64()), ("repo_id", pa.string()), ("step", pa.string())])
-        writer, at, temp, n, done = None, None, None, 0, []
+        writer, at, temp, n, lo, hi, done = None, None, None, 0, 0, 0, []
 
         def close() -> None:
             if writer is not None:
                 writer.close()
                 os.replace(temp, os.path.join(root, at))
-                done.append((at, n))
+                done.append((at, n, lo, hi))
 
         for b in batches:
             keys = b.column(0)
@@ -215,16 +223,17 @@ def write_files(steps: DataFrame, root: str, by: str = "path") -> DataFrame:
                     end += 1
                 if values[start] != at:
                     close()
-                    at, n = values[start], 0
+                    at, n, lo = values[start], 0, b.column(5)[start].as_py()
                     full = os.path.join(root, at)
                     os.makedirs(os.path.dirname(full), exist_ok=True)
                     temp = f"{full}.{uuid.uuid4().hex}.tmp"
                     writer = pq.ParquetWriter(temp, schema, compression="snappy")
                 part = b.slice(start, end - start).select(["episode_index", "frame_index", "repo_id", "step"])
                 writer.write_table(pa.Table.from_batches([part]).cast(schema))
-                n += end - start
+                n, hi = n + end - start, b.column(5)[end - 1].as_py()
                 start = end
         close()
-        yield pa.RecordBatch.from_pydict({"path": pa.array([d[0] for d in done], pa.string()), "n_written": pa.array([d[1] for d in done], pa.int64())})
+        named = {"path": pa.string(), "n_written": pa.int64(), "first_code": pa.int64(), "last_code": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(named.values())], names=list(named))
 
-    return ordered.mapInArrow(write, "path string, n_written bigint")
+    return ordered.mapInArrow(write, "path string, n_written bigint, first_code bigint, last_code bigint")

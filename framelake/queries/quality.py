@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import compaction as C
 from ..operators import drift as D
 from ..operators import references as R
-from ..operators.common import checkpoint_dir
+from ..operators.common import checkpoint_dir, store
+from ..operators.indexing import small
+from ..sources.files import local
 from .base import table
 
 
@@ -56,38 +58,41 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return D.unified_records(table(spark, d, "info_snapshots"), "stream_id", "revision", "info")
 
 
-def _clustered(spark: SparkSession, d: str) -> DataFrame:
-    steps = C.staged_steps(table(spark, d, "staged_files"))
-    return C.cluster(C.deduplicate_steps(steps, "file_id", "written_at"), "episode_index", "frame_index")
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    """Every step of the staged files once, as a stored table."""
+    return store(C.deduplicate_steps(C.staged_steps(table(spark, d, "staged_files")), "file_id", "written_at"))
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _clustered(spark, d).where("several").select("episode_index", "frame_index")
-
-
-def _placed(spark: SparkSession, d: str) -> DataFrame:
+def _placed(spark: SparkSession, d: str, steps: DataFrame) -> DataFrame:
     info = table(spark, d, "dataset_info").groupBy("repo_id").agg(F.max("data_files_size_in_mb").alias("limit_mb"), F.max("chunks_size").alias("chunks_size"), F.max("data_path").alias("template"))
-    placed = C.assign_files(_clustered(spark, d), info.select("repo_id", "limit_mb", "chunks_size"))
-    named = placed.join(info.select("repo_id", "template"), "repo_id", "left")
+    placed = C.assign_files(steps, info.select("repo_id", "limit_mb", "chunks_size"))
+    named = placed.join(small(info.select("repo_id", "template")), "repo_id", "left")
     path = C.fill_template(F.col("template"), F.col("chunk_index"), F.col("file_index"), F.col("file"))
     return named.withColumn("path", F.concat_ws("/", "repo_id", path)).drop("template")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Steps that several staged files held, from the consolidated rows."""
+    steps = _steps(spark, d)
+    placed = C.range_shuffle(_placed(spark, d, steps), steps)
+    return placed.where("several").select("episode_index", "frame_index")
+
+
 def p6_files(spark: SparkSession, d: str) -> DataFrame:
     """The files that hold every step once: place, size and row digest."""
-    return C.digest(_placed(spark, d), ["repo_id", "chunk_index", "file_index", "path"])
+    return C.digest(_placed(spark, d, _steps(spark, d)), ["repo_id", "chunk_index", "file_index", "path"])
 
 
 def p6_written(spark: SparkSession, d: str) -> DataFrame:
     """Writes the files to the shared folder and compares the row digests of
-    what was planned with those of what is read back."""
-    placed = _placed(spark, d)
-    root = os.path.join(checkpoint_dir(spark).removeprefix("file:"), f"compacted-{uuid.uuid4().hex}")
-    C.write_files(placed, root).agg(F.sum("n_written")).collect()
+    the staged steps, before any placing, with those of what is read back."""
+    steps = _steps(spark, d)
+    root = os.path.join(local(checkpoint_dir(spark)), f"compacted-{uuid.uuid4().hex}")
+    C.write_files(_placed(spark, d, steps), steps, root).agg(F.sum("n_written")).collect()
     back = spark.read.option("recursiveFileLookup", "true").schema("episode_index bigint, frame_index bigint, repo_id string, step string").parquet(root)
-    wanted = C.digest(placed, ["repo_id"])
-    held = C.digest(back, ["repo_id"]).select("repo_id", *[F.col(c).alias(f"{c}_read") for c in ("n_steps", "size_bytes", "digest_xor", "digest_sum")])
-    both = wanted.join(held, "repo_id", "left")
+    wanted = C.digest(steps, ["repo_id"])
+    held = C.digest(back, ["repo_id"]).select(F.col("repo_id").alias("r"), *[F.col(c).alias(f"{c}_read") for c in ("n_steps", "size_bytes", "digest_xor", "digest_sum")])
+    both = wanted.join(held, F.col("repo_id").eqNullSafe(F.col("r")), "full")
     same = F.lit(True)
     for c in ("n_steps", "size_bytes", "digest_xor", "digest_sum"):
         same = same & F.coalesce(F.col(c) == F.col(f"{c}_read"), F.lit(False))
@@ -107,8 +112,8 @@ SELECT 'episodes', 'data/file_index', episode_index, recorded_at, CASE WHEN f.k
 """
 
 _STEPS = """
-WITH l AS (SELECT file_id, repo_id, regexp_extract(unnest(string_split(body, chr(10))), '\\{.*\\}') AS j FROM staged_files WHERE body IS NOT NULL),
-s AS (SELECT file_id, CAST(TRY_CAST(trim(json_extract_string(j, '$.episode_index')) AS DOUBLE) AS BIGINT) AS episode_index, CAST(TRY_CAST(trim(json_extract_string(j, '$.frame_index')) AS DOUBLE) AS BIGINT) AS frame_index FROM l WHERE j <> '' AND json_valid(j))
+WITH l AS (SELECT file_id, repo_id, written_at, regexp_extract(unnest(string_split(body, chr(10))), '\\{.*\\}') AS j FROM staged_files WHERE body IS NOT NULL),
+s AS (SELECT file_id, repo_id, j, written_at, CAST(TRY_CAST(trim(json_extract_string(j, '$.episode_index')) AS DOUBLE) AS BIGINT) AS episode_index, CAST(TRY_CAST(trim(json_extract_string(j, '$.frame_index')) AS DOUBLE) AS BIGINT) AS frame_index FROM l WHERE j <> '' AND json_valid(j))
 """
 
 _P5 = """
@@ -151,6 +156,9 @@ QUERIES = {
 SQL = {
     "p5_found": _P5,
     "p6_found": _STEPS + "SELECT episode_index, frame_index FROM s WHERE episode_index IS NOT NULL AND frame_index IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT file_id) > 1",
+    "p6_written": _STEPS
+    + """, b AS (SELECT *, row_number() OVER (PARTITION BY episode_index, frame_index ORDER BY written_at DESC NULLS LAST, file_id DESC NULLS LAST, j DESC, repo_id DESC NULLS LAST) AS k FROM s WHERE episode_index IS NOT NULL AND frame_index IS NOT NULL)
+ SELECT repo_id, count(*) AS n_steps, CAST(sum(strlen(j) + 1) AS BIGINT) AS size_bytes, true AS same FROM b WHERE k = 1 GROUP BY 1""",
     "p4_found": _P4 + "SELECT DISTINCT table_name, field, row_key, reason FROM o WHERE reason IS NOT NULL",
     "p4_counts": _P4 + "SELECT table_name, field, strftime(recorded_at, '%Y-%m') AS month, reason, count(DISTINCT row_key) AS n_orphans FROM o WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",
 }

@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -120,25 +121,42 @@ def test_small_files(spark, tmp_path):
     ]
     files = spark.createDataFrame(bodies, "file_id bigint, repo_id string, written_at int, body string").withColumn("code", F.lit(1)).withColumn("part", F.lit("clash"))
     steps = C.deduplicate_steps(C.staged_steps(files), "file_id", "written_at")
-    placed = C.cluster(steps, "episode_index", "frame_index", parts=3).cache()
+    limits = spark.createDataFrame([("r", 0, None), ("q", 1, 1)], "repo_id string, limit_mb int, chunks_size int")
+    placed = C.assign_files(steps, limits).cache()
     got = {(r["episode_index"], r["frame_index"]): (r["several"], r["repo_id"]) for r in placed.collect()}
     assert got == {(1, 0): (False, "r"), (1, 1): (True, "r"), (1, 2): (False, "r"), (1, 3): (True, "q")}
     assert json.loads(placed.where("frame_index = 1").first()["step"])["v"] == 5  # the newest copy
-    limits = spark.createDataFrame([("r", 0, None), ("q", 1, 1)], "repo_id string, limit_mb int, chunks_size int")
-    named = C.assign_files(placed, limits).withColumn("path", C.fill_template(F.lit("{chunk_index:03d}-{file_index}-{episode_index:02d}/").substr(1, 100), F.col("chunk_index"), F.col("file_index"), F.col("file")))
+    named = placed.withColumn("path", C.fill_template(F.lit("{chunk_index:03d}-{file_index}-{episode_index:02d}/").substr(1, 100), F.col("chunk_index"), F.col("file_index"), F.col("file")))
     assert {r["path"] for r in named.collect()} == {"000-0-00/"}
     named = named.withColumn("path", F.concat_ws("/", "repo_id", F.lit("a.parquet")))
-    assert C.write_files(named, str(tmp_path)).agg(F.sum("n_written")).first()[0] == 4
+    assert C.write_files(named, steps, str(tmp_path)).agg(F.sum("n_written")).first()[0] == 4
     back = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path))
     same = lambda d: sorted(map(tuple, C.digest(d, ["repo_id"]).collect()))
-    assert same(back) == same(named)
-    assert C.cluster(steps.limit(0), "episode_index", "frame_index").count() == 0
+    assert same(back) == same(steps)
+    assert C.assign_files(steps.limit(0), limits).count() == 0
 
 
-def test_files_are_even(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_files_are_even_and_compact(spark, tmp_path, hot):
+    """Files keep the limit and hold compact ranges of codes that do not overlap,
+    also where nearly all steps lie in a small part of the coordinates."""
     n = 20_000
-    steps = spark.range(n).select((F.col("id") / 100).cast("bigint").alias("episode_index"), (F.col("id") % 100).alias("frame_index"), F.lit("r").alias("repo_id"), F.repeat(F.lit("x"), 499).alias("step"))
-    placed = C.assign_files(C.cluster(steps, "episode_index", "frame_index", parts=4), spark.createDataFrame([("r", 1, 4)], "repo_id string, limit_mb int, chunks_size int"))
-    sizes = placed.groupBy("chunk_index", "file_index").agg(F.sum("bytes").alias("b")).collect()
-    assert len(sizes) == 10 and max(r["b"] for r in sizes) < 1.1 * 2**20 and min(r["b"] for r in sizes) > 0.8 * 2**20
+    steps = spark.range(n).select(
+        (F.when(F.col("id") < 3, F.col("id") * 100_000).otherwise(F.col("id") / 100) if hot else F.col("id") / 100).cast("bigint").alias("episode_index"), (F.col("id") % 100).alias("frame_index"),
+        F.when(F.col("id") % 10 == 0, None).otherwise("r").alias("repo_id"), F.repeat(F.lit("x"), 499).alias("step"), F.lit(7).alias("part"),
+    )
+    placed = C.assign_files(steps, spark.createDataFrame([("r", 1, 4)], "repo_id string, limit_mb int, chunks_size int")).withColumn("path", F.concat_ws("/", F.coalesce("repo_id", F.lit("none")), F.col("file").cast("string")))
+    sizes = placed.where("repo_id = 'r'").groupBy("chunk_index", "file_index").agg(F.sum(F.octet_length("step") + 1).alias("b")).collect()
+    assert len(sizes) == 9 and max(r["b"] for r in sizes) <= 2**20 and min(r["b"] for r in sizes) > 0.9 * 18_000 * 500 / 9
     assert {r["chunk_index"] for r in sizes} == {0, 1, 2}
+    parts = placed.groupBy("path").agg(F.countDistinct("part").alias("n")).collect()
+    assert len(parts) == 10 and {r["n"] for r in parts} == {1}
+    written = sorted((r for r in C.write_files(placed, steps, str(tmp_path)).collect() if r["path"].startswith("r/")), key=lambda r: r["first_code"])
+    assert sum(r["n_written"] for r in written) == 18_000
+    assert all(a["last_code"] < b["first_code"] for a, b in zip(written, written[1:]))
+
+
+def test_one_code_larger_than_a_file(spark):
+    steps = spark.range(6000).select(F.when(F.col("id") == 0, 10**12).otherwise(F.col("id") % 50).alias("episode_index"), (F.col("id") / 50).cast("bigint").alias("frame_index"), F.lit("r").alias("repo_id"), F.repeat(F.lit("x"), 999).alias("step"))
+    sizes = C.assign_files(steps, spark.createDataFrame([("r", 1, 4)], "repo_id string, limit_mb int, chunks_size int")).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("p")).collect()
+    assert sum(r["n"] for r in sizes) == 6000 and {r["p"] for r in sizes} == {1} and len(sizes) >= 6
