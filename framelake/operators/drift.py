@@ -15,20 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import store
+
 #: Accepted spellings of the two layout versions.
 VERSIONS = {"v2.1": "v2.1", "v2": "v2.1", "2.1": "v2.1", "v3.0": "v3.0", "v3": "v3.0", "3.0": "v3.0"}
 #: Top-level fields of which a different value is a change.
 VALUE_FIELDS = ("codebase_version", "data_path")
 #: Numeric promotions, narrow to wide.
-_WIDTH = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3, "float": 4, "double": 5}
+_WIDTH = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3, "decimal(38,0)": 4, "float": 5, "double": 6}
+#: Integers that not every double can tell apart.
+_LONG = ("bigint", "decimal(38,0)")
 
 
 def promote(a: str, b: str) -> str:
-    """The least type that holds both: the join of the type lattice.
+    """The least type that holds every value of both: the join of the lattice.
 
     null is below all types and string above all; numbers widen, and an integer
-    of more than 16 bits and a float meet in double.  A date and a time stamp
-    meet in the time stamp; arrays meet by their elements.
+    of 32 bits and a float meet in double.  Integers of 64 bits and more would
+    lose digits in a double, so they meet floats only in string.  A date and a
+    time stamp meet in the time stamp; arrays meet by their elements.
     """
     if a == b or b == "null":
         return a
@@ -36,7 +41,9 @@ def promote(a: str, b: str) -> str:
         return b
     if a in _WIDTH and b in _WIDTH:
         lo, hi = sorted((a, b), key=_WIDTH.get)
-        return "double" if hi == "float" and lo in ("int", "bigint") else hi
+        if hi in ("float", "double") and lo in _LONG:
+            return "string"
+        return "double" if hi == "float" and lo == "int" else hi
     stamps = {"date", "timestamp", "timestamp_ntz"}
     if a in stamps and b in stamps:
         return "timestamp" if "timestamp" in (a, b) else "timestamp_ntz"
@@ -195,7 +202,8 @@ def with_previous(rows: DataFrame, stream: str, order: str, value: str, *, block
 
 def snapshot_changes(snapshots: DataFrame, stream: str, revision: str, record: str) -> DataFrame:
     """Columns stream, revision, field, change_kind, new_field of all changes."""
-    pairs = with_previous(snapshot_schemas(snapshots, stream, revision, record), "stream", "revision", "fields").where(
+    rows = store(snapshot_schemas(snapshots, stream, revision, record))  # parsed once
+    pairs = with_previous(rows, "stream", "revision", "fields").where(
         F.col("previous").isNotNull() & (F.col("previous") != F.col("fields"))
     )
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
@@ -221,16 +229,21 @@ def unified_records(snapshots: DataFrame, stream: str, revision: str, record: st
     """One table with the same columns for all readable snapshots.
 
     A column for each top-level field that occurs, of the type that holds all
-    its values: bigint, double, boolean or, for mixed and nested values, string
-    (JSON for nested ones); ``features`` is a map from the feature to its kind.
-    The fields and their types are folded in parallel; only the distinct pairs
-    of field and type, as many as the schema is wide, reach the driver.
+    its values: int, bigint, decimal(38,0), double, boolean or, for mixed and
+    nested values, string (JSON for nested ones); ``features`` is a map from the
+    feature to its kind.  The fields and their types are folded in parallel;
+    only the distinct pairs of field and type, as many as the schema is wide,
+    reach the driver.
     """
-    rows = snapshot_schemas(snapshots, stream, revision, record)
+    rows = store(snapshot_schemas(snapshots, stream, revision, record))
     m = F.from_json("fields", "map<string,array<string>>")
     parsed = rows.select(F.col("stream").alias(stream), F.col("revision").alias(revision), m.alias("m"))
     entry = parsed.select(F.explode("m").alias("field", "kc")).where(~F.startswith("field", F.lit("features.")))
-    number = F.when(F.col("kc")[1].rlike(r"^-?\d{1,18}$"), "bigint").otherwise("double")
+    text = F.col("kc")[1]
+    number = (
+        F.when(text.rlike(r"^-?\d{1,9}$"), "int").when(text.rlike(r"^-?\d{1,18}$"), "bigint").when(text.rlike(r"^-?\d{1,38}$"), "decimal(38,0)")
+        .when(text.try_cast("double").isNull() | text.rlike(r"^-?\d+$"), "string").otherwise("double")
+    )
     seen = entry.select("field", F.when(F.col("kc")[0] == "number", number).when(F.col("kc")[0] == "boolean", "boolean").otherwise("string").alias("t")).distinct().collect()
     types: dict[str, list[str]] = {}
     for r in seen:
@@ -275,42 +288,57 @@ def file_schemas(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return listed.mapInArrow(read, "path string, ordinal bigint, field string, type string")
 
 
-def read_drifting(spark: SparkSession, paths: Sequence[str], renames: dict[str, str] | None = None) -> tuple[DataFrame, list[tuple[str, str, str, str]]]:
+def _moves(old: dict[str, str], new: dict[str, str], renames: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(field, change, detail) between the schemas of two files."""
+    out = []
+    come = [f for f in new if f not in old]
+    for f in sorted(f for f in old if f not in new):
+        if renames.get(f) in come:
+            out.append((f, "renamed", renames[f]))
+            come.remove(renames[f])
+        else:
+            out.append((f, "removed", old[f]))
+    out += [(f, "added", new[f]) for f in sorted(come)]
+    return out + [(f, "retyped", f"{old[f]} to {new[f]}") for f in sorted(old.keys() & new.keys()) if old[f] != new[f]]
+
+
+def read_drifting(spark: SparkSession, paths: Sequence[str], renames: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """All files as one table of the folded schema, and the log of changes.
 
-    ``renames`` maps a field's old name to the new one.  Files of one schema
+    ``renames`` maps a field's old name to the new one.  Headers are read and
+    compared in parallel; the driver gets the distinct schemas, which it folds,
+    and the number of the schema of each file it was given.  Files of one schema
     are read together, so there are as many scans as there are schemas.  The log
-    has (path, field, change, detail) for each file whose schema differs from
-    that of the file before it, in the order of ``paths``.
+    (ordinal, path, field, change, detail) has a row for each difference from
+    the file before in the order of ``paths``.
     """
     renames = renames or {}
-    schemas: dict[str, dict[str, str]] = {p: {} for p in paths}
-    for r in file_schemas(spark, paths).collect():  # one row for each file and field
-        schemas[r["path"]][r["field"]] = r["type"]
+    pair = F.array_sort(F.collect_list(F.struct("field", "type")))
+    files = store(file_schemas(spark, paths).groupBy("path", "ordinal").agg(F.to_json(F.map_from_entries(pair)).alias("schema")))
+    pairs = with_previous(files.withColumn("__all", F.lit(0)), "__all", "ordinal", "schema")
+    changed = pairs.where(F.col("previous") != F.col("schema")).select("ordinal", "path", "previous", "schema")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(o, p, *c) for o, p, old, new in zip(*(b.column(i).to_pylist() for i in range(4))) for c in _moves(json.loads(old), json.loads(new), renames)]
+            kinds = {"ordinal": pa.int64(), "path": pa.string(), "field": pa.string(), "change": pa.string(), "detail": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+    log = changed.mapInArrow(compare, "ordinal bigint, path string, field string, change string, detail string")
+    distinct = files.groupBy("schema").agg(F.min("ordinal").alias("first")).orderBy("first").collect()  # as many as there are schemas
+    number = {r["schema"]: i for i, r in enumerate(distinct)}
+    which = F.create_map(*[F.lit(x) for kv in number.items() for x in kv]) if number else F.create_map()
+    of_file = [(r[0], r[1]) for r in files.select("ordinal", which[F.col("schema")].alias("k")).collect()] if number else []  # two numbers for each given path
+    schemas = [json.loads(r["schema"]) for r in distinct]
     union: dict[str, str] = {}
-    for p in paths:
-        for f, t in schemas[p].items():
+    for schema in schemas:
+        for f, t in schema.items():
             name = renames.get(f, f)
             union[name] = promote(union.get(name, "null"), t)
-    log: list[tuple[str, str, str, str]] = []
-    for before, p in zip(paths, list(paths)[1:]):
-        old, new = schemas[before], schemas[p]
-        gone, come = [f for f in old if f not in new], [f for f in new if f not in old]
-        for f in sorted(gone):
-            if renames.get(f) in come:
-                log.append((p, f, "renamed", renames[f]))
-                come.remove(renames[f])
-            else:
-                log.append((p, f, "removed", old[f]))
-        log += [(p, f, "added", new[f]) for f in sorted(come)]
-        log += [(p, f, "retyped", f"{old[f]} to {new[f]}") for f in sorted(old.keys() & new.keys()) if old[f] != new[f]]
-    groups: dict[tuple, list[str]] = {}
-    for p in paths:
-        groups.setdefault(tuple(schemas[p].items()), []).append(p)
     table = None
-    for schema, files in groups.items():
-        have = {renames.get(f, f): f for f, _ in schema}
-        df = spark.read.parquet(*files)
+    for k, schema in enumerate(schemas):
+        have = {renames.get(f, f): f for f in schema}
+        df = spark.read.parquet(*[paths[o] for o, s in sorted(of_file) if s == k])
         cols = []
         for name, t in union.items():
             kind = "string" if t == "null" else t

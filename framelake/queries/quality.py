@@ -58,6 +58,35 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return D.unified_records(table(spark, d, "info_snapshots"), "stream_id", "revision", "info")
 
 
+def _drifting_files(spark: SparkSession, d: str) -> list[str]:
+    """Events in parquet files of three schemas, one for each third of the range
+    of event_id: numbers widen, fields are renamed, added and dropped."""
+    events = table(spark, d, "events")
+    lo, hi = events.agg(F.coalesce(F.min("event_id"), F.lit(0)), F.coalesce(F.max("event_id"), F.lit(0))).first()
+    third = F.floor((F.col("event_id") - lo) * 3 / (hi - lo + 1))
+    versions = (
+        [F.col("event_id").cast("int").alias("event_id"), F.col("user_id").cast("int").alias("user_id"), "value", F.col("event_type").alias("kind")],
+        ["event_id", F.col("user_id").cast("int").alias("user_id"), "value", "event_type", "props"],
+        ["event_id", F.col("user_id").cast("string").alias("user_id"), "event_type", "props"],
+    )
+    paths = []
+    for k, columns in enumerate(versions):
+        root = f"{checkpoint_dir(spark).rstrip('/')}/drift-{uuid.uuid4().hex}"
+        events.where(third == k).select(*columns).write.parquet(root)
+        paths += sorted(spark.read.parquet(root).inputFiles())
+    return paths
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose schemas drift, read as one table of the folded schema."""
+    return D.read_drifting(spark, _drifting_files(spark, d), {"kind": "event_type"})[0]
+
+
+def p5_file_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What changes from file to file, from their headers."""
+    return D.read_drifting(spark, _drifting_files(spark, d), {"kind": "event_type"})[1].select("field", "change", "detail")
+
+
 def _steps(spark: SparkSession, d: str) -> DataFrame:
     """Every step of the staged files once, as a stored table."""
     return store(C.deduplicate_steps(C.staged_steps(table(spark, d, "staged_files")), "file_id", "written_at"))
@@ -149,12 +178,16 @@ QUERIES = {
     "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_unified": p5_unified,
+    "p5_files": p5_files,
+    "p5_file_changes": p5_file_changes,
     "p6_found": p6_found,
     "p6_files": p6_files,
     "p6_written": p6_written,
 }
 SQL = {
     "p5_found": _P5,
+    "p5_files": "WITH b AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events), e AS (SELECT *, floor((event_id - lo) * 3 / (hi - lo + 1)) AS k FROM events, b) SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, CASE WHEN k < 2 THEN value END AS value, CASE WHEN k > 0 THEN props END AS props FROM e",
+    "p5_file_changes": "SELECT * FROM (VALUES ('kind', 'renamed', 'event_type'), ('props', 'added', 'string'), ('event_id', 'retyped', 'int to bigint'), ('value', 'removed', 'double'), ('user_id', 'retyped', 'int to string')) AS t(field, change, detail)",
     "p6_found": _STEPS + "SELECT episode_index, frame_index FROM s WHERE episode_index IS NOT NULL AND frame_index IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT file_id) > 1",
     "p6_written": _STEPS
     + """, b AS (SELECT *, row_number() OVER (PARTITION BY episode_index, frame_index ORDER BY written_at DESC NULLS LAST, file_id DESC NULLS LAST, j DESC, repo_id DESC NULLS LAST) AS k FROM s WHERE episode_index IS NOT NULL AND frame_index IS NOT NULL)
