@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,19 +68,19 @@ _END = ".!?。！？｡।॥…．"
 _CLOSE = "\"'”’»›“」』】〕）)\\]}›"
 _OPEN = "\"'“„«‹「『【〔（(\\[¿¡"
 _SPACE = "\\s\u00a0\u202f"
-# an end mark, or several, and what closes after it; French closes after a space
-_CANDIDATE = re.compile(rf"[{_END}]+(?:[{_CLOSE}]|[ \u00a0\u202f]+[»›])*(?=[{_SPACE}]|$|[^{_SPACE}\d,;:)\]])")
 _THAI = re.compile(r"(?<=[ก-ฺเ-๎])[ \t\u00a0]*(?:\r?\n)?[ \t\u00a0]+(?=[ก-ฺเ-๎])|(?<=[ก-ฺเ-๎])\r?\n(?=[ก-ฺเ-๎])")
-_QUOTES = re.compile(
-    "“[^“”„\n]{0,400}?(?:\n[^“”„\n]{0,400}?)?”|„[^“”„\n]{0,400}?(?:\n[^“”„\n]{0,400}?)?[“”]|«[^«»\n]{0,400}?(?:\n[^«»\n]{0,400}?)?»|「[^「」]{0,400}」|『[^『』]{0,400}』|（[^（）]{0,400}）"
-    + r"|(?<![\w\"])\"(?=[^\s\"])[^\"\n]{0,300}?(?:\r?\n[^\"\n]{0,300}?)?(?<=[^\s\"])\"(?!\w)"
-)
-_QUOTED = re.compile("[\"“„«「『（]")
+#: What opens a quotation or bracket, and what closes it; the same mark may do
+#: both in other languages, so an opening one closes what waits for it.
+_PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", '"': '"'}
+_CLOSERS = {c for closers in _PAIRS.values() for c in closers}
+_QUOTE = re.compile("[“”„«»「」『』（）\"]")
 _MARK = re.compile(r"\[\s?\d{3,5}\s?\]")
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _BLANK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[^\S\n\r\x0b\x0c\x85\u2028\u2029]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])\s*")
-_CLAIM = re.compile(r"\s*(\d{1,3})\s?[.)．、](?!\d)\s*(?=\S)")
+_CLAIM = re.compile(r"\s*(\d+)\s?[.)．、](?!\d)\s*(?=\S)")
 _TERMINAL = re.compile(rf"[{_END}][{_CLOSE}{_SPACE}]*$")
+_ENDS = frozenset(_END)  # an empty text is none
+_TRAILING = "\"'”’»›“」』】〕）)]} \t\u00a0\u202f"
 
 
 def _words(group: str, lang: str) -> set[str]:
@@ -87,15 +88,76 @@ def _words(group: str, lang: str) -> set[str]:
     return {w for key in ("", lang) for w in table.get(key, "").split()}
 
 
+_CL = rf"(?:[{_CLOSE}]|[ \u00a0\u202f]+[»›])"
+
+
 class Rule:
     """A break or no-break pair: what stands before and after a position."""
 
-    __slots__ = ("breaks", "before", "after")
+    __slots__ = ("breaks", "before", "after", "text")
 
     def __init__(self, breaks: bool, before: str, after: str) -> None:
         self.breaks = breaks
         self.before = re.compile(f"(?:{before})$")
         self.after = re.compile(after)
+        self.text = before
+
+    def may_follow(self, kind: str) -> bool:
+        """Whether ``before`` can match at all after a full stop of this kind:
+        one after a letter, a digit, or something else."""
+        last = self.text.removesuffix(f"{_CL}*")
+        if not last.endswith(r"\."):
+            return False
+        last = last[:-2]
+        if last.endswith((r"\d", r"\d{1,3}", r"\d{1,2}")):
+            return kind == "digit"
+        if last.endswith((r"[^\W\d_]", r"[^\W\d_]{1,2}", r"[^\W\d_]{3,}", r"[^\W\d_A-Z]{2}", "[A-Za-z]{3,}")):
+            return kind == "letter"
+        return True
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Rules of the layer above the sentences, which callers may replace.
+
+    ``headings`` and ``claim_headings`` are whole lines, without case;
+    ``upper_headings`` makes lines of upper-case words headings as well.  After
+    a claim heading each line that begins with a number is a new unit if the
+    number is above the last one by at most ``claim_step``, so that a claim may
+    be lost and a wrapped line that begins with a number is no claim.
+    """
+
+    headings: str = HEADINGS
+    claim_headings: str = CLAIM_HEADINGS
+    upper_headings: bool = True
+    claim_step: int = 5
+
+
+def quotations(block: str) -> list[tuple[int, int]]:
+    """Outermost quotations and brackets of any length, by a stack.
+
+    A mark that closes one of the open ones ends it and drops what was opened
+    inside it and is not closed; what is never closed is no quotation.  A plain
+    quotation mark opens before a word and closes after one.
+    """
+    stack: list[tuple[str, int]] = []
+    found: list[tuple[int, int]] = []
+    size = len(block)
+    for m in _QUOTE.finditer(block):
+        c, at = m.group(), m.start()
+        before, after = block[at - 1 : at], block[at + 1 : at + 2]
+        if c in _CLOSERS and (c != '"' or (before and not before.isspace() and not (after.isalnum() or after == "_"))):
+            k = next((k for k in range(len(stack) - 1, -1, -1) if c in _PAIRS[stack[k][0]] and (c != '"' or stack[k][1] < at - 1)), -1)
+            if k >= 0:
+                start = stack[k][1]
+                del stack[k:]
+                while found and found[-1][0] > start:
+                    found.pop()
+                found.append((start, at + 1))
+                continue
+        if c in _PAIRS and (c != '"' or (at + 1 < size and not after.isspace() and not (before.isalnum() or before in ("_", '"')))):
+            stack.append((c, at))
+    return found
 
 
 #: Letters that scanning confuses, as they may stand in an abbreviation.
@@ -114,7 +176,6 @@ def _any(words: set[str]) -> str:
     return "|".join(out)
 
 
-_CL = rf"(?:[{_CLOSE}]|[ \u00a0\u202f]+[»›])"
 _START = rf"\s*[{_OPEN}]?\s?(?:[^\W\d_a-zß-öø-ÿа-яё]|[∆∑$¿¡]|[a-z][A-Z])"  # an upper-case or caseless letter
 _DIGIT = r"\s+\d"
 _UNIT = r"\d\s(?:[A-Za-zµ°%℃Ω]{1,3}|kPa|U/min|tr/min|rpm|degrees|[а-яА-Я]{1,3})"
@@ -137,7 +198,6 @@ def rules_of(lang: str) -> list[Rule]:
         own += [
             Rule(False, r"…+", r""),
             Rule(False, rf"[。！？｡]\s?[）)】\]]+", r"\s*\S"),
-            Rule(True, rf"[:：]\s?[“「『][^“”「」『』]*[。！？｡!?]+[”」』]+", r"(?!\s*[とやをがはのにでも，、。；：])"),
             Rule(False, r"[。！？｡!?]+[”」』]+", r"\s*[^\s“「『\[A-Z0-9]"),
             Rule(True, rf"[。！？｡]+{_CL}*", r""),
             Rule(True, rf"[\u3040-\u30ff\u3400-\u9fff）][!?]+{_CL}*", r"\s*\S"),
@@ -184,6 +244,9 @@ def rules_of(lang: str) -> list[Rule]:
     return own + common
 
 
+#: Chinese and Japanese: a quotation after a colon is the end of its sentence,
+#: unless the sentence goes on with a particle or comma; it may have any length.
+_SPOKEN = re.compile(r"^.?[:：]\s?[“「『].*[。！？｡!?]+[”」』]+$", re.S), re.compile(r"(?!\s*[とやをがはのにでも，、。；：])")
 _LATIN = {
     "en": (" the ", " of ", " is "),
     "de": (" der ", " die ", " das "),
@@ -220,58 +283,150 @@ def frequent(text: str, said: str) -> tuple[str, bool, int]:
     return best, sum(counts.values()) - most > max(2, most // 6), most - counts[said]
 
 
-_UPPER = str.maketrans({**{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "a" for c in "bcdefghijklmnopqrstuvwxyz"}, **dict(zip("03456789", "22222222"))})
+#: Candidates: an end mark, or several, and what closes after it (French closes
+#: after a space).  Without the group: a boundary that every cascade decides alike,
+#: so none is asked: a full stop after a word of five letters that is no
+#: abbreviation, before a space and a capital; the full stops of other scripts
+#: between two letters of theirs.
+_LETTER, _KANA_HAN = r"[^\W\d_]", r"[\u3040-\u30ff\u3400-\u9fff]"
+_PLAIN = re.compile(
+    rf"[{_END}](?:(?<=\.)(?=[ \n][A-ZÀ-ÞА-ЯЁ])(?<={_LETTER * 5}\.)(?<!approx\.)(?<!aprox\.)|(?<=[。｡])(?=\s?{_KANA_HAN})(?<={_KANA_HAN}.)|(?<=[।॥])(?=\s[\u0900-\u0963])(?<=[\u0900-\u0963].)"
+    rf"|([{_END}]*(?:[{_CLOSE}]|[ \u00a0\u202f]+[»›])*(?=[{_SPACE}]|$|[^{_SPACE}\d,;:)\]])))"
+)
+#: Characters before a position in which a rule's pattern may begin; what stands
+#: before the pattern is seen wherever it is.
+LOOK_BACK = {"letter": 14, "other": 10, "digit": 24, "": 10}
+#: A new sentence after a full stop and a space, as the common rules have it.
+_NEW = re.compile(r"\s+(?:[A-ZÀ-ÞА-ЯЁ\d]|[¿¡\"“„«‹「(\[$∆∑]|[a-z][A-Z])")
+_BEGINS = re.compile(_START + "|" + _DIGIT)
+_CAPITAL = re.compile(_START)
+_ITEM = re.compile(r"(?<![\w.,])\d{1,3}\.$")
+#: Letters that a scan may have put for each other, to find doubtful words.
+_ALIKE = str.maketrans("c1", "el")
+_BEFORE_WORD = frozenset("([\"'“„«‹")
 
 
-def _context(lang: str, before: str, after: str) -> tuple[str, str]:
-    """What the rules can see of a position, with fewer values than the text.
+class Segmenter:
+    """Compiled cascades; one for each process.
 
-    A word of four letters or a whole bracket needs nothing before it; digits
-    are alike but for 1, which a scan may have read for l; what follows counts
-    by letter case, except where rules know words (months, Russian letters).
+    ``remember`` keeps the boundaries of that many paragraphs, for a corpus that
+    repeats its paragraphs.
     """
-    token = before[max(before.rfind(" "), before.rfind("\n")) + 1 :]
-    long_word = len(token) > 4 and token[:-1].isalpha()
-    before = token if long_word or token[:1] == "(" and token[-2:] == ")." else before.translate(_DIGITS)
-    return before, after.translate(_DIGITS if lang == "de" else _UPPER)
-
 
-class Segmenter:
-    """Compiled cascades and decisions already taken; one for each process."""
-
-    def __init__(self) -> None:
-        self.rules: dict[str, list[Rule]] = {}
-        self.known: dict[tuple[str, str, str], bool] = {}
+    def __init__(self, layout: Layout | None = None, remember: int = 0) -> None:
+        self.rules: dict[tuple[str, str], list[tuple]] = {}
+        self.layout_rules, self.remember = layout or Layout(), remember
         self.blocks: dict[tuple[str, str], tuple[int, ...]] = {}
+        self.known: dict[str, tuple[set[str], set[str], set[str]]] = {}
         flat = lambda s: {h.strip().casefold() for line in s.split("\n") for h in line.split("|") if h.strip()}
-        self.headings, self.claims = flat(HEADINGS), flat(CLAIM_HEADINGS)
+        self.headings, self.claims = flat(self.layout_rules.headings), flat(self.layout_rules.claim_headings)
+        self.longest = max(map(len, self.headings | self.claims), default=0)
+
+    def cascade(self, lang: str, kind: str) -> list[tuple]:
+        """The rules of a language that can apply at all: all, or those for a
+        full stop after a letter, a digit or something else."""
+        got = self.rules.get((lang, kind))
+        if got is None:
+            got = self.rules[lang, kind] = [(r.before.search, r.after.match, r.breaks) for r in rules_of(lang) if not kind or r.may_follow(kind)]
+        return got
 
-    def decide(self, lang: str, before: str, after: str) -> bool:
-        key = (lang, before, after)
-        got = self.known.get(key)
+    def words(self, lang: str) -> tuple[set[str], set[str], set[str]]:
+        """Abbreviations of one part that never end a sentence, that may, and
+        all of them as a scan may have changed them."""
+        got = self.known.get(lang)
         if got is None:
-            if lang not in self.rules:
-                self.rules[lang] = rules_of(lang)
-            got = next((r.breaks for r in self.rules[lang] if r.before.search(before) and r.after.match(after)), False)
-            if len(self.known) >= 100_000:
-                self.known.clear()
-            self.known[key] = got
+            never, maybe = _words("never", lang), _words("maybe", lang)
+            got = self.known[lang] = (never, maybe - never, {w.translate(_ALIKE) for w in never | maybe} | {"gew", "ll"} | {w[-1] for w in maybe if "." in w})
         return got
 
+    def decide(self, lang: str, block: str, at: int) -> bool:
+        """Whether the first rule that matches at this position is a break."""
+        got = self.shortcut(lang, block, at)
+        return self.first_rule(lang, block, at) if got is None else got
+
+    def shortcut(self, lang: str, block: str, at: int) -> bool | None:
+        """What the cascade gives in the most frequent cases, without its
+        expressions; None in all others."""
+        mark, c, after = block[at - 1], block[at - 2 : at - 1], block[at : at + 2]
+        if mark == ".":
+            if c.isalpha():
+                end = at - 1
+                begin = max(block.rfind(" ", 0, end), block.rfind("\n", at - 40 if at > 40 else 0, end)) + 1
+                word = block[begin:end]
+                if word[:1] in _BEFORE_WORD:
+                    begin, word = begin + 1, word[1:]
+                if not word or word[-1] > "\u058f":
+                    return None
+                never, maybe, doubtful = self.words(lang)
+                if not word.isalpha():
+                    return False if word.lower() in never else None
+                if not word.isascii() and (max(word) > "\u058f" or lang in ("zh", "ja")):
+                    return None
+                if len(word) == 1:
+                    # an initial or a part of an abbreviation, not a unit after a number
+                    before = block[begin - 3 : begin].strip()[-1:] if begin > 2 else ""
+                    if before and (before.isalpha() or before in ",;.") and word.lower() not in doubtful and (not after[:1].isspace() or not (after[1:] or " ").isspace()) and after:
+                        return False
+                    return None
+                word = word.lower()
+                if word in never:
+                    return False
+                if word in maybe:
+                    return _BEGINS.match(block, at) is not None
+                if word.translate(_ALIKE) not in doubtful and _NEW.match(block, at):
+                    return True
+            elif lang in ("zh", "ja"):
+                return None
+            elif c == ")":
+                return True
+            elif c.isdecimal():
+                if lang != "de" and _CAPITAL.match(block, at):
+                    return True
+                if lang == "en" and after[:1] == " " and after[1:].islower() and _ITEM.search(block, at - 5 if at > 5 else 0, at):
+                    return False
+            elif c == "." and after[:1].isspace():
+                back = at - 2
+                while back and block[back - 1] == ".":
+                    back -= 1
+                if block[back - 1 : back].isspace():
+                    return False  # dots that stand alone
+            return None
+        if lang in ("zh", "ja"):
+            return None
+        if mark in "!?" and c.isalpha() and after[:1].isspace() and after[1:].isupper():
+            return True
+        if mark in "\"”’»“" and c in ("!", "?") and after[:1] == " " and after[1:].islower() and after[1:] < "\u0450":
+            return False
+        return None
+
+    def first_rule(self, lang: str, block: str, at: int) -> bool:
+        kind = ""
+        if block[at - 1] == "." and at > 1:
+            c = block[at - 2]
+            if c not in ".…":  # groups of marks ask all rules
+                kind = "letter" if c.isalpha() else "digit" if c.isdecimal() else "other"
+        start = at - LOOK_BACK[kind]
+        if start < 0:
+            start = 0
+        for before, after, breaks in self.cascade(lang, kind):
+            if after(block, at) and before(block, start, at):
+                return breaks
+        return False
+
     def heading(self, line: str, opens: bool) -> int:
         """0 no heading, 1 a heading, 2 the heading of the claims."""
-        if len(line) > 80:
-            return 0
-        bare = line.strip("【】[]:： \t\u00a0.").casefold()
-        if bare in self.claims:
-            return 2
-        if bare in self.headings and not line.rstrip().endswith("."):
-            return 1
+        bare = line.strip("【】[]:： \t\u00a0.")
+        if len(bare) <= self.longest:
+            bare = bare.casefold()
+            if bare in self.claims:
+                return 2
+            if bare in self.headings and not line.rstrip().endswith("."):
+                return 1
         if not opens:
             return 0
         if line[0] == "【" and line[-1] == "】":
             return 1
-        if line.isupper() and not any(c.isdigit() for c in line) and len(line) >= 4:
+        if self.layout_rules.upper_headings and line.isupper() and not any(c.isdigit() for c in line) and len(line) >= 4:
             words = line.split()
             if all(w.replace("-", "").replace("'", "").isalpha() and len(w) <= 22 for w in words) and not _TERMINAL.search(line) and not set(line) <= set("ACGT \t-"):
                 return 1
@@ -287,7 +442,7 @@ class Segmenter:
             line = text[s:e].strip()
             if not line:
                 continue
-            gap = _BLANK.search(text, end, s) is not None if end else True
+            gap = not end or (s - end > 1 and _BLANK.search(text, end, s) is not None)
             kind = self.heading(line, opens or gap)
             if kind:
                 if begin < s:
@@ -299,7 +454,7 @@ class Segmenter:
                 continue
             if claims:
                 n = _CLAIM.match(text, s, e)
-                if n and (last < int(n.group(1)) <= last + 5 or last == 0):
+                if n and (last < int(n.group(1)) <= last + self.layout_rules.claim_step or last == 0):
                     if begin < s and text[begin:s].strip():
                         cuts.append(s)
                     last, begin = int(n.group(1)), s
@@ -310,29 +465,32 @@ class Segmenter:
                 if text[begin:s].strip():
                     blocks.append((begin, s))
                 begin = s
-            opens, end = _TERMINAL.search(line) is not None, e
+            opens, end = line.rstrip(_TRAILING)[-1:] in _ENDS, e
         if not claims:
             blocks.append((begin, len(text)))
         cuts.append(len(text))
         return cuts, blocks
 
     def inside(self, lang: str, block: str) -> tuple[int, ...]:
-        """Boundaries in running text.  Paragraphs recur in a corpus, so the
-        last ones are remembered."""
+        """Boundaries in running text."""
+        if not self.remember:
+            return tuple(self._inside(lang, block))
         key = (lang, block)
         got = self.blocks.get(key)
         if got is None:
-            if len(self.blocks) >= 10_000:
+            if len(self.blocks) >= self.remember:
                 self.blocks.clear()
             got = self.blocks[key] = tuple(self._inside(lang, block))
         return got
 
     def _inside(self, lang: str, block: str) -> Iterator[int]:
-        spans = [m.span() for m in _QUOTES.finditer(block)] if _QUOTED.search(block) else []
-        k, n = 0, len(spans)
-        for m in _CANDIDATE.finditer(block):
+        spans = quotations(block) if _QUOTE.search(block) else []
+        k, n, cjk = 0, len(spans), lang in ("zh", "ja")
+        size = len(block.rstrip())
+        for m in _PLAIN.finditer(block):
             p = m.end()
-            start = max(0, p - 20)
+            if p >= size:  # the block ends here anyhow
+                break
             if n:
                 at = m.start()
                 while k < n and spans[k][1] < p:
@@ -340,9 +498,12 @@ class Segmenter:
                 if k < n and spans[k][0] < at:
                     if p < spans[k][1]:
                         continue  # inside a quotation
-                    if lang in ("zh", "ja"):
-                        start = max(0, spans[k][0] - 2)
-            if self.decide(lang, *_context(lang, block[start:p], block[p : p + (12 if lang == "de" else 6)])):
+                    if cjk and block[p - 1] in "”」』":
+                        whole = block[max(0, spans[k][0] - 2) : p]
+                        if _SPOKEN[0].search(whole) and _SPOKEN[1].match(block, p):
+                            yield p
+                            continue
+            if m.lastindex is None and (not cjk or block[p - 1] != ".") or self.decide(lang, block, p):
                 yield p
         if lang == "th":
             yield from (m.start() for m in _THAI.finditer(block))
@@ -365,14 +526,17 @@ class Segmenter:
             cuts += [s + c for c in self.inside(lang, block)]
         out, begin, marked = [], 0, -1
         for p in sorted(set(cuts)):
-            unit = text[begin:p].rstrip()
-            if not unit or unit.isspace():
+            done = p
+            while done > begin and text[done - 1].isspace():
+                done -= 1
+            if done == begin:
                 continue
-            done = begin + len(unit)
-            begin = p
-            if len(unit) < 16:
-                body = unit.strip()
-                if _MARK.fullmatch(body):  # waits for its sentence
+            while text[begin].isspace():
+                begin += 1
+            first, begin = begin, p
+            if not text[first].isalnum():
+                body = text[first:done]
+                if body[0] == "[" and _MARK.fullmatch(body):  # waits for its sentence
                     marked = done
                     continue
                 if out and marked < 0 and all(unicodedata.category(c)[0] in "PZC" for c in body):
@@ -385,10 +549,10 @@ class Segmenter:
         return out
 
 
-_shared: list[Segmenter] = []
+_shared: dict[tuple[Layout, int], Segmenter] = {}
 
 
-def sentence_units(documents: DataFrame, doc_id: str, text: str, lang: str | None = None, *, with_text: bool = True) -> DataFrame:
+def sentence_units(documents: DataFrame, doc_id: str, text: str, lang: str | None = None, *, with_text: bool = True, layout: Layout | None = None, remember: int = 0) -> DataFrame:
     """Columns doc_id, n (from 0), end_pos and, if wanted, unit.
 
     Units cover the text but for the space between them.  Null, empty and blank
@@ -403,9 +567,10 @@ def sentence_units(documents: DataFrame, doc_id: str, text: str, lang: str | Non
     arrow = to_arrow_schema(schema)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _shared:
-            _shared.append(Segmenter())
-        seg = _shared[0]
+        key = (layout or Layout(), remember)
+        if key not in _shared:
+            _shared[key] = Segmenter(*key)
+        seg = _shared[key]
         for b in batches:
             ids, ns, ends, units = [], [], [], []
             for d, t, la in zip(*(b.column(i).to_pylist() for i in range(3))):

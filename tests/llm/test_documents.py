@@ -199,3 +199,36 @@ def test_units_cover_the_text(spark):
     got = S.sentence_units(df, "id", "body").groupBy("doc_id").count().collect()
     assert {r[0]: r[1] for r in got} == {4: 4, 5: 20_000}
     assert S.sentence_units(df.limit(0), "id", "body", "l").count() == 0
+
+
+def test_quotations_of_any_length():
+    inner = "Halt the pump. Check the valve! Is it cold? " * 15
+    for opened, closed in (("“", "”"), ("\"", "\""), ("„", "“"), ("«", "»")):
+        text = f"The panel says {opened}{inner.strip()}{closed} and then stops. The next one follows."
+        assert len(S.Segmenter().ends(text, "en")) == 2
+        wrapped = text.replace("? ", "?\n   ")
+        assert len(S.Segmenter().ends(wrapped, "en")) == 2
+    assert S.quotations("a “b „c“ d” e") == [(2, 11)] and S.quotations("“a “b” c") == [(3, 6)] and S.quotations("5\" and 6\" tubes") == []
+    assert S.quotations("「a『b』c」「d") == [(0, 7)]
+
+
+def test_shortcuts_give_what_the_cascade_gives():
+    random.seed(5)
+    pieces = ["A", "B.", "z", "e.g", "d", "h", "usw", "etc", "u", "a", "m", "Fig", "figs", "12", "3", "No", "approx", "min", "wheel", "Rad", "т", "д", "рис", "вал", "!", "?", "...", "\"", "”", ")", "(", "«", "»", "°C", "N", "Gew", "-%", "2.5", "Д", "é", "ff", "S"]
+    for lang in ("en", "de", "fr", "es", "ru", "zh", "ja", "hi", "th"):
+        seg = S.Segmenter()
+        for _ in range(1500):
+            block = "".join(random.choice(pieces) + random.choice(["", " ", ". ", ".", "\n", "? ", "! "]) for _ in range(9)) + "The end"
+            for m in S._PLAIN.finditer(block):
+                at = m.end()
+                plain = m.lastindex is None and (lang not in ("zh", "ja") or block[at - 1] != ".")
+                got = True if plain else seg.shortcut(lang, block, at)
+                assert got is None or got == seg.first_rule(lang, block, at), (lang, block, at)
+
+
+def test_layout_rules_can_be_replaced():
+    text = "METHODS\nWe melt it. We cool it.\n\nWhat we claim\n1. A pot\nwith a lid.\n2. A lid."
+    plain = S.Segmenter().ends(text, "en")
+    own = S.Segmenter(S.Layout(headings="Methods", claim_headings="What we claim", upper_headings=False)).ends(text, "en")
+    assert [text[a:b].strip() for a, b in zip([0, *own], own)] == ["METHODS", "We melt it.", "We cool it.", "What we claim", "1. A pot\nwith a lid.", "2. A lid."]
+    assert plain != own and S.Segmenter(remember=10).ends(text, "en") == plain
