@@ -57,12 +57,30 @@ def p2_combined(spark: SparkSession, d: str) -> DataFrame:
 
 
 IDS = ("operator_id", "session_id", "scene_id")
+BATCHES = 3
+
+
+def _in_batches(spark: SparkSession, d: str, by: str) -> DataFrame:
+    """The component table after the episodes came in ``BATCHES`` batches, by
+    equal ranges of a column; between them only the written tables are kept."""
+    shares = S.shares_of(table(spark, d, "dataset_info"), "repo_id", "splits")
+    episodes = table(spark, d, "episodes").where(F.col("episode_index").isNotNull()).withColumn("w", F.lit(1))
+    at = F.unix_micros(F.col(by).cast("timestamp")) if by.endswith("_at") else F.col(by)
+    lo, hi = episodes.agg(F.coalesce(F.min(at), F.lit(0)), F.coalesce(F.max(at), F.lit(0))).first()
+    batch = F.coalesce(F.floor((at - lo) * F.lit(float(BATCHES)) / (hi - lo + 1)), F.lit(0))
+    root = os.path.join(local(checkpoint_dir(spark)), f"splits-{uuid.uuid4().hex}")
+    for k in range(BATCHES):
+        S.write_state(S.update_splits(episodes.where(batch == k), "episode_index", IDS, "parent_episode_index", "repo_id", "w", shares, S.read_state(spark, root)), root)
+    return S.read_state(spark, root).nodes
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    edges = S.links(table(spark, d, "episodes"), "episode_index", IDS, "parent_episode_index")
-    found = S.components(edges)
-    return found.select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"))
+    """Linked episodes, from the component table after batches in the order in
+    which they were ingested."""
+    nodes = _in_batches(spark, d, "ingested_at").select("node", "component")
+    groups = nodes.where(F.col("node") != F.col("component"))
+    tops = groups.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return groups.unionByName(tops).select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"))
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -73,20 +91,16 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"), "split", "status")
 
 
-BATCHES = 3
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Splits of episodes that come in three batches, by ranges of their numbers."""
+    nodes = _in_batches(spark, d, "episode_index")
+    return nodes.select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"), "split", "status")
 
 
-def p1_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Splits of episodes that come in three batches, by ranges of their numbers;
-    between the batches only the tables in the shared folder are kept."""
-    shares = S.shares_of(table(spark, d, "dataset_info"), "repo_id", "splits")
-    episodes = table(spark, d, "episodes").where(F.col("episode_index").isNotNull()).withColumn("w", F.lit(1))
-    lo, hi = episodes.agg(F.coalesce(F.min("episode_index"), F.lit(0)), F.coalesce(F.max("episode_index"), F.lit(0))).first()
-    batch = F.floor((F.col("episode_index") - lo) * BATCHES / (hi - lo + 1))
-    root = os.path.join(local(checkpoint_dir(spark)), f"splits-{uuid.uuid4().hex}")
-    for k in range(BATCHES):
-        S.write_state(S.update_splits(episodes.where(batch == k), "episode_index", IDS, "parent_episode_index", "repo_id", "w", shares, S.read_state(spark, root)), root)
-    return S.read_state(spark, root).nodes.select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"), "split", "status")
+def p1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Linked episodes, all in one run without an earlier table."""
+    edges = S.links(table(spark, d, "episodes"), "episode_index", IDS, "parent_episode_index")
+    return S.components(edges).select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -198,6 +212,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
     "p1_batches": p1_batches,
+    "p1_whole": p1_whole,
     "p2_found": p2_found,
     "p2_daily": p2_daily,
     "p2_combined": p2_combined,
@@ -208,6 +223,7 @@ QUERIES = {
 }
 SQL = {
     "p1_found": _P1,
+    "p1_whole": _P1,
     "p3_found": _P3 + "SELECT a AS task_index_a, task_index AS task_index_b FROM (SELECT task_index, min(task_index) OVER (PARTITION BY form) AS a FROM k WHERE form IS NOT NULL) WHERE a <> task_index",
     "p3_copies": _P3 + "SELECT min(task_index) AS task_index, arg_min(task, task_index) AS task, count(*) AS n_copies FROM k WHERE form IS NOT NULL GROUP BY form",
     "p7_found": _P7,

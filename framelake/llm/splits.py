@@ -25,8 +25,6 @@ from ..sources.files import local
 
 #: Written forms of an id that is not known; they link nothing.
 UNKNOWN_IDS = ("", "unknown", "n/a", "-")
-#: A hot id is divided into so many stars, whose centres are linked afterwards.
-SALT = 32
 #: A component of at least 1/HEAVY of its home's weight is placed one by one.
 HEAVY = 64
 BUCKETS = 256
@@ -65,27 +63,45 @@ def _children(rows: DataFrame, node: str, parent: str) -> DataFrame:
     return rows.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("node"), F.col(parent).alias("parent")).distinct()
 
 
+def _lookup(rows: DataFrame, keys: Sequence[str], table: DataFrame, how: str = "inner") -> DataFrame:
+    """Join with a stored table of one row per key, however skewed ``rows`` are:
+    by broadcast if its counted rows are few, else with the heavy keys, by their
+    counted rows, split off."""
+    keys = list(keys)
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys, how)
+    weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    used = materialize(table.join(weights, keys))
+    total = used.agg(F.sum("__n")).first()[0] or 0
+    return lookup_join(rows, used, keys, n_rows=total, weight="__n", how=how)
+
+
+def _relabel(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    """``column`` replaced by its root, where ``roots`` (node, root) has one."""
+    to = roots.select(F.col("node").alias(column), F.col("root").alias("__root"))
+    return _lookup(rows, [column], to, "left").withColumn(column, F.coalesce("__root", column)).drop("__root")
+
+
 def links(records: DataFrame, node: str, ids: Sequence[str], parent: str | None, earlier: State | None = None) -> DataFrame:
     """Edges (u > v) of records that share an id or are parent and child.
 
-    Every id value is a star around the smallest record of each of ``SALT``
-    parts, and a small star over those; a value that holds a third of all rows
-    is therefore spread over ``SALT`` tasks.  Null and unknown ids link nothing,
-    nor does a parent that is no record, or the record itself.  With ``earlier``
-    there are edges to the components of earlier records as well: by an id, to a
-    parent, and from a parent that was awaited.
+    Every id value is a star around its smallest record, which is found with
+    map-side combining; the records of a value that holds a third of all rows
+    meet it by broadcast.  Null and unknown ids link nothing, nor does a parent
+    that is no record, or the record itself.  With ``earlier`` there are edges to
+    the components of earlier records as well: by an id, to a parent, and from a
+    parent that was awaited.
     """
     rows = records.where(F.col(node).isNotNull())
     parts = []
     if ids:
         held = _held(rows, node, ids)
-        w = Window.partitionBy("kind", "key", F.pmod(F.xxhash64("node"), F.lit(SALT)))
-        star = held.withColumn("centre", F.min("node").over(w))
-        whole = star.groupBy("kind", "key").agg(F.min("centre").alias("top"))
-        parts.append(star.select(F.col("node").alias("u"), F.col("centre").alias("v")))
-        parts.append(star.select("kind", "key", "centre").distinct().join(whole, ["kind", "key"]).select(F.col("centre").alias("u"), F.col("top").alias("v")))
+        # a value with one record links only with earlier ones
+        tops = materialize(held.groupBy("kind", "key").agg(F.min("node").alias("top"), F.max("node").alias("last")))
+        shared = tops.where(F.col("top") != F.col("last")).select("kind", "key", "top")
+        parts.append(_lookup(held, ["kind", "key"], shared).select(F.col("node").alias("u"), F.col("top").alias("v")))
         if earlier is not None:
-            parts.append(whole.join(earlier.keys, ["kind", "key"]).select(F.col("top").alias("u"), F.col("component").alias("v")))
+            parts.append(tops.join(earlier.keys, ["kind", "key"]).select(F.col("top").alias("u"), F.col("component").alias("v")))
     if parent is not None:
         child = _children(rows, node, parent)
         known = rows.select(F.col(node).alias("parent")).distinct()
@@ -93,9 +109,8 @@ def links(records: DataFrame, node: str, ids: Sequence[str], parent: str | None,
             came = known.select(F.col("parent").alias("u"), F.lit(WAITING).alias("kind"), F.col("parent").cast("string").alias("key"))
             parts.append(came.join(earlier.keys, ["kind", "key"]).select("u", F.col("component").alias("v")))
             known = known.union(earlier.nodes.select("node")).distinct()
-        valid = materialize(child.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).join(known, "parent", "left_semi"))
-        total = valid.agg(F.sum("n")).first()[0] or 0
-        parts.append(lookup_join(child, valid, ["parent"], n_rows=total, weight="n").select(F.col("node").alias("u"), F.col("parent").alias("v")))
+        valid = materialize(child.select("parent").distinct().join(known, "parent", "left_semi"))
+        parts.append(_lookup(child, ["parent"], valid).select(F.col("node").alias("u"), F.col("parent").alias("v")))
     if not parts:
         return rows.select(F.col(node).alias("u"), F.col(node).alias("v")).limit(0)
     edges = parts[0]
@@ -110,20 +125,18 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 def _follow(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Map both ends of the edges to their roots and drop what became a loop."""
-    r = roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    s = roots.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-    moved = edges.join(r, "v", "left").join(s, "u", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
-    return _oriented(moved)
+    return _oriented(_relabel(_relabel(edges, "v", roots), "u", roots))
 
 
 def _jump(hooks: DataFrame) -> DataFrame:
     """Pointer jumping: the root of every hooked node, in log(depth) rounds."""
+    hooks = materialize(hooks)
     while True:
-        q = hooks.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        step = materialize(hooks.join(q, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
-        hooks = step.select("node", "root")
-        if step.where("moved").limit(1).count() == 0:
+        # only nodes that are roots of others and hooked themselves lead further
+        q = materialize(hooks.select(F.col("root").alias("node")).distinct().join(hooks, "node"))
+        if q.limit(1).count() == 0:
             return hooks
+        hooks = materialize(_relabel(hooks, "root", q))
 
 
 def components(edges: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -136,33 +149,30 @@ def components(edges: DataFrame, previous: DataFrame | None = None) -> DataFrame
     """
     if previous is not None:
         known = previous.select("node", F.col("component").alias("root"))
-        left = _follow(edges, known)
+        left = materialize(_follow(edges, known))
         nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
         new = nodes.join(known, "node", "left_anti").select("node", F.col("node").alias("root"))
         labels = known.unionByName(new)
     else:
-        left = edges
+        left = materialize(edges)
         labels = None
-    left = materialize(left)
     maps = []
     while left.limit(1).count():
         roots = _jump(left.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")))
         maps.append(roots)
         left = materialize(_follow(left, roots))
-    if labels is None:
-        if not maps:
-            return edges.select(F.col("u").alias("node"), F.col("u").alias("component"))
+    if labels is not None:
+        for m in maps:
+            labels = _relabel(labels, "root", m)
+    elif not maps:
+        return edges.select(F.col("u").alias("node"), F.col("u").alias("component"))
+    else:
         # a node is hooked in exactly one round, so the maps are disjoint
         labels = maps[0]
         for m in maps[1:]:
-            nxt = m.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            labels = labels.join(nxt, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(m)
-        tops = labels.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
-        labels = labels.unionByName(tops)
-    else:
-        for m in maps:
-            nxt = m.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            labels = labels.join(nxt, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+            labels = _relabel(labels, "root", m).unionByName(m)
+        labels = materialize(labels)
+        labels = labels.unionByName(labels.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root")))
     return labels.select("node", F.col("root").alias("component"))
 
 
@@ -209,7 +219,8 @@ def assign_splits(members: DataFrame, shares: DataFrame, previous: DataFrame | N
         *[(F.coalesce(F.col(s), F.lit(d)) * F.col("total") - F.col(f"held_{s}")).alias(f"lack_{s}") for s, d in zip(SPLITS, (0.8, 0.1, 0.1))],
     )
     homes = materialize(homes)
-    side = F.broadcast(homes) if homes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else homes
+    few = homes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = F.broadcast(homes) if few else homes
     fresh = comps.where(F.col("status") == "new").select("component", "home", "weight").alias("c").join(
         side.alias("t"), F.col("c.home").eqNullSafe(F.col("t.home"))
     ).select("c.*", "t.total", *[f"t.lack_{s}" for s in SPLITS])
@@ -219,7 +230,7 @@ def assign_splits(members: DataFrame, shares: DataFrame, previous: DataFrame | N
     used = placed.groupBy("home").agg(*[F.sum(F.when(F.col("split") == s, F.col("weight")).otherwise(0.0)).alias(f"used_{s}") for s in SPLITS])
     used = used.withColumnRenamed("home", "uh")
     rest = fresh.where(F.col("weight") * HEAVY < F.col("total")).join(
-        F.broadcast(used) if homes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else used, F.col("home").eqNullSafe(F.col("uh")), "left"
+        F.broadcast(used) if few else used, F.col("home").eqNullSafe(F.col("uh")), "left"
     ).withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(BUCKETS)))
     lack = [F.greatest(F.lit(0.0), F.col(f"lack_{s}") - F.coalesce(F.col(f"used_{s}"), F.lit(0.0))) for s in SPLITS]
     # position of a component on the line of all light ones of its home, by two
@@ -256,8 +267,8 @@ def split_records(
     found = components(edges, None if previous is None else previous.select("node", "component"))
     nodes = records.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(home).alias("home"), F.max(weight).alias("weight"))
     members = materialize(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    comps = assign_splits(members, shares, None if previous is None else previous.select("node", "split"))
-    return members.select("node", "component").join(comps.select("component", "split", "status"), "component").select("node", "component", "split", "status")
+    comps = materialize(assign_splits(members, shares, None if previous is None else previous.select("node", "split")))
+    return _lookup(members.select("node", "component"), ["component"], comps.select("component", "split", "status")).select("node", "component", "split", "status")
 
 
 def update_splits(
@@ -275,8 +286,8 @@ def update_splits(
         every = every.unionByName(previous.nodes.select("node", "home", "weight"))
     nodes = every.groupBy("node").agg(F.min("home").alias("home"), F.max("weight").alias("weight"))
     members = materialize(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    comps = assign_splits(members, shares, None if previous is None else previous.nodes.select("node", "split"))
-    table = members.join(comps.select("component", "split", "status"), "component").select("node", "component", "home", "weight", "split", "status")
+    comps = materialize(assign_splits(members, shares, None if previous is None else previous.nodes.select("node", "split")))
+    table = _lookup(members, ["component"], comps.select("component", "split", "status")).select("node", "component", "home", "weight", "split", "status")
     where = members.select("node", "component")
     keys = where.select("component", F.lit(WAITING).alias("kind"), F.lit("").alias("key")).limit(0)
     if ids:
@@ -284,8 +295,9 @@ def update_splits(
     if parent is not None:
         keys = keys.unionByName(_children(rows, node, parent).join(where, "node").select("component", F.lit(WAITING).alias("kind"), F.col("parent").cast("string").alias("key")))
     if previous is not None:
-        moved = where.select(F.col("node").alias("component"), F.col("component").alias("now"))
-        keys = keys.unionByName(previous.keys.join(moved, "component").select(F.col("now").alias("component"), "kind", "key"))
+        # only components that were merged into others have another name now
+        merged = materialize(previous.nodes.select(F.col("component").alias("node")).distinct().join(where, "node").where(F.col("node") != F.col("component")).select("node", F.col("component").alias("root")))
+        keys = keys.unionByName(_relabel(previous.keys, "component", merged))
     there = nodes.select(F.lit(WAITING).alias("kind"), F.col("node").cast("string").alias("key"))
     return State(table, keys.distinct().join(there, ["kind", "key"], "left_anti").select("kind", "key", "component"))
 
