@@ -57,27 +57,26 @@ def p2_combined(spark: SparkSession, d: str) -> DataFrame:
 
 
 IDS = ("operator_id", "session_id", "scene_id")
-BATCHES = 3
 
 
-def _in_batches(spark: SparkSession, d: str, by: str) -> DataFrame:
-    """The component table after the episodes came in ``BATCHES`` batches, by
-    equal ranges of a column; between them only the written tables are kept."""
+def _in_batches(spark: SparkSession, d: str, by: str, n: int) -> DataFrame:
+    """The component table after the episodes came in ``n`` batches, by equal
+    ranges of a column; between them only the written tables are kept."""
     shares = S.shares_of(table(spark, d, "dataset_info"), "repo_id", "splits")
     episodes = table(spark, d, "episodes").where(F.col("episode_index").isNotNull()).withColumn("w", F.lit(1))
     at = F.unix_micros(F.col(by).cast("timestamp")) if by.endswith("_at") else F.col(by)
     lo, hi = episodes.agg(F.coalesce(F.min(at), F.lit(0)), F.coalesce(F.max(at), F.lit(0))).first()
-    batch = F.coalesce(F.floor((at - lo) * F.lit(float(BATCHES)) / (hi - lo + 1)), F.lit(0))
+    batch = F.coalesce(F.floor((at - lo) * F.lit(float(n)) / (hi - lo + 1)), F.lit(0))
     root = os.path.join(local(checkpoint_dir(spark)), f"splits-{uuid.uuid4().hex}")
-    for k in range(BATCHES):
+    for k in range(n):
         S.write_state(S.update_splits(episodes.where(batch == k), "episode_index", IDS, "parent_episode_index", "repo_id", "w", shares, S.read_state(spark, root)), root)
     return S.read_state(spark, root).nodes
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Linked episodes, from the component table after batches in the order in
-    which they were ingested."""
-    nodes = _in_batches(spark, d, "ingested_at").select("node", "component")
+    """Linked episodes, from the component table after two batches in the order
+    in which they were ingested."""
+    nodes = _in_batches(spark, d, "ingested_at", 2).select("node", "component")
     groups = nodes.where(F.col("node") != F.col("component"))
     tops = groups.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return groups.unionByName(tops).select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"))
@@ -93,7 +92,7 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_batches(spark: SparkSession, d: str) -> DataFrame:
     """Splits of episodes that come in three batches, by ranges of their numbers."""
-    nodes = _in_batches(spark, d, "episode_index")
+    nodes = _in_batches(spark, d, "episode_index", 3)
     return nodes.select(F.col("node").alias("episode_index"), F.col("component").alias("group_episode_index"), "split", "status")
 
 

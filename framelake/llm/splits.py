@@ -3,8 +3,8 @@
 Records that share an id, or of which one was made from the other, form a
 component; a component lies in one split.  Components are kept in a table that
 is carried from run to run: new links are mapped to the components of their
-ends and contracted by hooking every component to its smallest neighbour, with
-pointer jumping to the roots.  A component that already had a split keeps it, a
+ends, contracted inside each task, and then over all tasks by hooking every
+component to its smallest neighbour, with pointer jumping to the roots.  A component that already had a split keeps it, a
 new one fills the largest deficit against the wanted shares, and a component
 that joins records of different splits is quarantined, and stays so.  The ids
 are carried too, so a run may be given new records alone.
@@ -13,10 +13,12 @@ are carried too, so a run may be given new records alone.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from ..sources.files import local
 
 #: Written forms of an id that is not known; they link nothing.
 UNKNOWN_IDS = ("", "unknown", "n/a", "-")
+#: Edges that a task contracts at a time.
+CHUNK = 1 << 20
 #: A component of at least 1/HEAVY of its home's weight is placed one by one.
 HEAVY = 64
 BUCKETS = 256
@@ -128,6 +132,51 @@ def _follow(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return _oriented(_relabel(_relabel(edges, "v", roots), "u", roots))
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same links as stars: each node with the smallest one it hangs with."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = lo < hi
+        if not open_.any():
+            break
+        np.minimum.at(root, hi[open_], lo[open_])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    hangs = root != np.arange(len(ids))
+    return ids[hangs], ids[root[hangs]]
+
+
+def _contract(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges with the same components, contracted in each task by itself.
+
+    ``chunk`` edges at a time become stars, so memory is bounded; what spans
+    chunks and tasks is left to the rounds over all of them.
+    """
+    schema = edges.select("u", "v").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            u, v = _forest(*(t.column(i).to_numpy() for i in range(2)))
+            return pa.RecordBatch.from_arrays([pa.array(u, t.schema.field(0).type), pa.array(v, t.schema.field(1).type)], names=["u", "v"])
+
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= chunk:
+                yield stars()
+                held, n = [], 0
+        if n:
+            yield stars()
+
+    return edges.select("u", "v").mapInArrow(run, schema)
+
+
 def _jump(hooks: DataFrame) -> DataFrame:
     """Pointer jumping: the root of every hooked node, in log(depth) rounds."""
     hooks = materialize(hooks)
@@ -149,23 +198,23 @@ def components(edges: DataFrame, previous: DataFrame | None = None) -> DataFrame
     """
     if previous is not None:
         known = previous.select("node", F.col("component").alias("root"))
-        left = materialize(_follow(edges, known))
+        left = materialize(_contract(_follow(edges, known)))
         nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
         new = nodes.join(known, "node", "left_anti").select("node", F.col("node").alias("root"))
         labels = known.unionByName(new)
     else:
-        left = materialize(edges)
+        left = materialize(_contract(edges))
         labels = None
     maps = []
     while left.limit(1).count():
         roots = _jump(left.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")))
         maps.append(roots)
-        left = materialize(_follow(left, roots))
+        left = materialize(_contract(_follow(left, roots)))
     if labels is not None:
         for m in maps:
             labels = _relabel(labels, "root", m)
     elif not maps:
-        return edges.select(F.col("u").alias("node"), F.col("u").alias("component"))
+        return left.select(F.col("u").alias("node"), F.col("u").alias("component"))
     else:
         # a node is hooked in exactly one round, so the maps are disjoint
         labels = maps[0]

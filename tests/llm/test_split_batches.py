@@ -37,3 +37,11 @@ def test_new_records_alone(spark, tmp_path):
     apart = {n for n, r in last.items() if r["split"] == S.QUARANTINE}  # perhaps 20, 21 and 77, which met in the second run
     assert {n for n, r in got.items() if r["split"] == S.QUARANTINE} == {train, test, 50, 51} | apart and apart <= {20, 21, 77}
     assert all(got[n]["split"] == r["split"] for n, r in last.items() if n not in (train, test))
+
+
+def test_forest_in_small_chunks(spark):
+    edges = [(i, i - 1) for i in range(1, 60)] + [(i, 100) for i in range(101, 140)] + [(150, 30), (150, 120)]
+    df = spark.createDataFrame([(max(a, b), min(a, b)) for a, b in edges], "u bigint, v bigint")
+    for chunk in (1, 7, 1000):
+        stars = S._contract(df, chunk)
+        assert {r["component"] for r in S.components(stars).collect()} == {0}
