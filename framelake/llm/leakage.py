@@ -157,7 +157,7 @@ class _Doc:
             for er, (ir, pr) in enumerate(right):
                 size = ir - il
                 if TOLERANCE * (el + er) > size:
-                    break
+                    continue  # more words on the right may pay for their changes
                 if size >= item.least:
                     return size, pl, pr, run_end
         return 0, 0, 0, run_end

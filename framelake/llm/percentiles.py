@@ -133,15 +133,16 @@ def order_statistics(
 ) -> DataFrame:
     """Columns ``groups``, ``n`` and ``stats``, the k wanted order statistics.
 
-    ``spread`` is a deterministic expression over the row that differs among
-    equal values, so that ties of a hot value may be divided.  Null values are
+    ``spread`` is a deterministic integer over the row that differs among equal
+    values: a hot value is divided into as many runs as there are partitions,
+    and four times more, so that it fits them however large it is.  Null values are
     ignored; null group keys are a group; an empty input gives no rows.
     """
     groups = list(groups)
     parts = parts or partitions_for(values, 8 << 20)  # unpivoted rows are wider than their scan
-    v = values.where(F.col(value).isNotNull()).select(
-        *groups, F.col(value).cast("double").alias("__v"), (F.lit(0) if spread is None else spread).cast("tinyint").alias("__tie")
-    )
+    ties = 1 << (4 * parts - 1).bit_length()
+    tie = F.lit(0) if spread is None else F.pmod(spread, F.lit(ties))
+    v = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("__v"), tie.cast("smallint" if ties <= 1 << 15 else "int").alias("__tie"))
     runs = v.repartitionByRange(parts, *groups, "__v", "__tie").select(*groups, "__v", F.spark_partition_id().alias("__pid"))
     pieces = runs.groupBy(*groups, "__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*groups)

@@ -24,7 +24,7 @@ def _frame_values(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in ("index", *keep, *FEATURES)]
     rows = table(spark, d, "frames").select(*cols).distinct()
     keys = [F.col(f"`{k}`") for k in keep]
-    return P.unpivot(rows, [*keys, F.pmod("index", F.lit(64)).cast("tinyint").alias("tie")], FEATURES)
+    return P.unpivot(rows, [*keys, F.col("index").alias("tie")], FEATURES)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +151,19 @@ def p7_files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per repo and kind: every episode once and whole, no container above its
+    capacity, and no more containers than any placing without two half empty
+    ones may have."""
+    found = _containers(spark, d)
+    items = found.groupBy("grp", "kind", "item").agg(F.sum("size").alias("size"), (F.count(F.lit(1)) == F.max("n_pieces")).alias("whole"), F.max("capacity").alias("capacity"))
+    per = items.groupBy("grp", "kind").agg(F.count(F.lit(1)).alias("n_episodes"), F.sum("size").alias("mb"), F.min("whole").alias("whole"), F.max("capacity").alias("capacity"))
+    made = found.groupBy(F.col("grp").alias("g"), F.col("kind").alias("k")).agg(F.max("fill").alias("fullest"), F.countDistinct("container").alias("n"), F.max("container").alias("last"))
+    both = per.join(made, F.col("grp").eqNullSafe(F.col("g")) & (F.col("kind") == F.col("k")))
+    few = (F.col("n") <= 2 * F.ceil(F.col("mb") / F.col("capacity")) + 1) & (F.col("n") == F.col("last") + 1)
+    return both.select(F.col("grp").alias("repo_id"), F.col("kind").alias("container"), "n_episodes", F.round("mb", 3).alias("mb"), "whole", (F.col("fullest") <= 1 + 1e-9).alias("fits"), few.alias("few"))
+
+
 _VALUES = """
 WITH f AS (SELECT DISTINCT "index" AS i, episode_index, repo_id, recorded_at, "observation.state" AS s, action AS a, "observation.effort" AS e FROM frames),
 u AS (SELECT episode_index, repo_id, CAST(recorded_at AS DATE) AS "day", 'observation.state' AS feature, g AS dim, CAST(s[g + 1] AS DOUBLE) AS x FROM f, (SELECT unnest(range(0, 64)) AS g) WHERE g < len(s)
@@ -219,6 +232,7 @@ QUERIES = {
     "p3_copies": p3_copies,
     "p7_found": p7_found,
     "p7_files": p7_files,
+    "p7_fill": p7_fill,
 }
 SQL = {
     "p1_found": _P1,
@@ -226,6 +240,10 @@ SQL = {
     "p3_found": _P3 + "SELECT a AS task_index_a, task_index AS task_index_b FROM (SELECT task_index, min(task_index) OVER (PARTITION BY form) AS a FROM k WHERE form IS NOT NULL) WHERE a <> task_index",
     "p3_copies": _P3 + "SELECT min(task_index) AS task_index, arg_min(task, task_index) AS task, count(*) AS n_copies FROM k WHERE form IS NOT NULL GROUP BY form",
     "p7_found": _P7,
+    "p7_fill": """
+WITH e AS (SELECT repo_id, episode_index, max(data_mb) AS d, max(video_mb) AS v FROM episodes WHERE deleted_at IS NULL AND episode_index IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT repo_id, 'data' AS container, d AS x FROM e UNION ALL SELECT repo_id, 'video', v FROM e)
+SELECT repo_id, container, count(*) AS n_episodes, round(sum(CASE WHEN x > 0 AND NOT isnan(x) AND NOT isinf(x) THEN x ELSE 0 END), 3) AS mb, true AS whole, true AS fits, true AS few FROM s GROUP BY 1, 2""",
     "p2_found": _VALUES
     + """, j AS (SELECT s.episode_index, s.feature, s.dim, s.q10, s.q50, s.q90, count(*) AS n,
  count(*) FILTER (x < q10) AS b10, count(*) FILTER (x <= q10) AS a10, count(*) FILTER (x < q50) AS b50, count(*) FILTER (x <= q50) AS a50, count(*) FILTER (x < q90) AS b90, count(*) FILTER (x <= q90) AS a90
