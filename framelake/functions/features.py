@@ -115,6 +115,20 @@ def check_columns(columns: list[str], features: Features, *, others: tuple[str,
         raise FeatureError(f"unknown columns {unknown}, missing columns {missing}")
 
 
+def parse_stats_mode(text: str) -> str:
+    """sampled (also sample and empty), full or none, in any case."""
+    mode = {"": "sampled", "sample": "sampled"}.get(text.strip().lower(), text.strip().lower())
+    if mode not in ("sampled", "full", "none"):
+        raise FeatureError(f"unsupported stats mode {text!r}")
+    return mode
+
+
+def owned_features(features: Features, external_videos: bool) -> Features:
+    """Features whose statistics are ours: not the videos', if the caller makes
+    those."""
+    return {k: v for k, v in features.items() if not (external_videos and v.dtype == "video")}
+
+
 def spark_type(spec: FeatureSpec) -> T.DataType:
     if spec.dtype == "image":
         return T.StructType([T.StructField("bytes", T.BinaryType()), T.StructField("path", T.StringType())])
@@ -164,6 +178,8 @@ def features_equal(a: Features, b: Features) -> bool:
     return a.keys() == b.keys() and all(a[k].canonical() == b[k].canonical() for k in a)
 
 
-def same_schema(a: T.StructType, b: T.StructType) -> bool:
-    """Names, types and nullability by position; metadata does not count."""
-    return [(f.name, f.dataType, f.nullable) for f in a] == [(f.name, f.dataType, f.nullable) for f in b]
+def same_schema(a: T.StructType, b: T.StructType, *, nullable: bool = True) -> bool:
+    """Names and types by position, and nullability unless it is left out;
+    metadata does not count."""
+    plain = lambda t: t if nullable else t.simpleString()  # noqa: E731 - has no nullability
+    return [(f.name, plain(f.dataType), f.nullable or not nullable) for f in a] == [(f.name, plain(f.dataType), f.nullable or not nullable) for f in b]

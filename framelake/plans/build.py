@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
-from ..functions.features import Features, check_columns, check_media, data_columns, keys_of, spark_type, with_defaults
+from ..functions.features import Features, check_columns, check_media, data_columns, keys_of, owned_features, parse_stats_mode, same_schema, spark_type, with_defaults
+from ..functions.images import image_stats
 from ..operators import indexing as X
 from ..operators import rotation, stats, tasks
 from ..operators.common import materialize
@@ -49,17 +50,21 @@ def assign_data_files(lengths: DataFrame, info: L.DatasetInfo, *, most: int = 0)
 
 def build(
     steps: DataFrame, features: Features, fps: int, *, episode: str, order: Sequence[str], task: str | None, version: str = L.V30,
-    robot_type: str | None = None, use_videos: bool = True, episodes_per_file: int = 0, with_stats: bool = True, full_images: bool = False, videos: DataFrame | None = None, **limits: int,
+    robot_type: str | None = None, use_videos: bool = True, episodes_per_file: int = 0, with_stats: bool = True, full_images: bool = False, stats_mode: str | None = None, videos: DataFrame | None = None, **limits: int,
 ) -> Dataset:
     """A dataset from raw rows: one episode for each value of ``episode``.
 
     Episodes are numbered in the order of their values, frames by ``order``,
     which must be total.  A missing task is the empty one.  Statistics are made
     once, from the final numbers; those of images from sampled frames, or from all
-    with ``full_images``.  ``videos`` has the videos of the final episode
+    with ``full_images``; ``stats_mode`` (sampled, full, none) says both in one.
+    A null in a feature's column is an error when it is saved.  ``videos`` has the videos of the final episode
     numbers (see ``plans.videos``).
     """
     check_media(features, use_videos)
+    if stats_mode is not None:
+        mode = parse_stats_mode(stats_mode)
+        with_stats, full_images = mode != "none", mode == "full"
     others = tuple({episode, task or "task", *order})
     check_columns([c for c in steps.columns if c not in others or c in features], features, others=others)
     info = L.DatasetInfo.new(version, fps, features, robot_type=robot_type, **limits)
@@ -178,7 +183,43 @@ def union(datasets: Sequence[Dataset], version: str = L.V30, **limits: int) -> D
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
+    """Tables of one schema, strictly; nullability, which differs with how a
+    table was made, and metadata do not count."""
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        if not same_schema(out.schema, p.schema, nullable=False):
+            raise ValueError(f"schemas differ: {out.schema.simpleString()} and {p.schema.simpleString()}")
+        out = out.union(p)
     return out
+
+
+def complete_media(dataset: Dataset, given: DataFrame | None = None, *, external_videos: bool = False, full: bool = False) -> Dataset:
+    """Fills in statistics of images and videos that a dataset lacks.
+
+    Those of images are made from the frames, only of the episodes that lack
+    them; those of videos come from ``given`` (long form), as no decoder is at
+    hand, unless the caller keeps them with ``external_videos``.  What is there
+    already is kept.  Episodes that still lack any are an error.
+    """
+    owned = owned_features(dataset.info.features, external_videos)
+    media = [k for k, v in owned.items() if v.media]
+    if not media:
+        return dataset
+    have = dataset.stats
+    every = dataset.episodes.select("episode_index", F.explode(F.array(*[F.lit(k) for k in sorted(media)])).alias("feature"))
+    lack = materialize(every if have is None else every.join(have.select("episode_index", "feature").distinct(), ["episode_index", "feature"], "left_anti"))
+    made = [] if have is None else [have]
+    for key in keys_of(owned, "image"):
+        wanted = lack.where(F.col("feature") == key).select("episode_index")
+        if wanted.limit(1).count():
+            made.append(image_stats(dataset.frames.join(X.small(wanted), "episode_index", "left_semi"), key, full=full))
+    if given is not None:
+        made.append(given.join(lack.where(~F.col("feature").isin(*keys_of(owned, "image"))), ["episode_index", "feature"], "left_semi"))
+    whole = made[0] if made else None
+    for m in made[1:]:
+        whole = whole.unionByName(m)
+    still = lack if whole is None else lack.join(whole.select("episode_index", "feature").distinct(), ["episode_index", "feature"], "left_anti")
+    first = still.orderBy("episode_index", "feature").first()
+    if first is not None:
+        raise ValueError(f"episode {first[0]}: no statistics of {first[1]}")
+    return replace(dataset, stats=whole, images=())

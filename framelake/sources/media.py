@@ -29,8 +29,16 @@ class MediaError(RuntimeError):
     """A video that cannot be read or made."""
 
 
+_program: list[str] = []
+
+
+def use_program(path: str) -> None:
+    """The ffmpeg that is used where no other is given."""
+    _program[:] = [path]
+
+
 def find_program(name: str = "ffmpeg", explicit: str | None = None) -> str:
-    for place in (explicit, shutil.which(name)):
+    for place in (explicit, *_program, shutil.which(name)):
         if place and os.path.exists(place):
             return place
     raise MediaError(f"{name} is not installed; give its place or put it on the path")
