@@ -105,6 +105,21 @@ def task_checks(dictionary: DataFrame, total: int) -> DataFrame:
     return problems(gap, ERROR, "task_gap", F.col("task_index"), F.format_string("tasks: no task_index %d", F.col("task_index")))
 
 
+def place_checks(frames: DataFrame, episodes: DataFrame, info: L.DatasetInfo) -> DataFrame:
+    """v3.0: each episode's frames are in the file it names, in its range.
+
+    ``frames`` has episode_index, index and path; episodes are joined by their
+    number, and the range of indices is a filter, so one scan serves them all.
+    """
+    e = F.col("episode_index")
+    path = L.path_column(info.data_path, chunk_index=F.col("`data/chunk_index`"), file_index=F.col("`data/file_index`"))
+    wanted = episodes.select(e, path.alias("wanted"), F.col("dataset_from_index").alias("from"), F.col("dataset_to_index").alias("to"), "length")
+    there = F.when((F.col("path") == F.col("wanted")) & (F.col("index") >= F.col("from")) & (F.col("index") < F.col("to")), 1)
+    held = frames.join(X.small(wanted.drop("length")), "episode_index").groupBy("episode_index").agg(F.count(there).alias("n"))
+    bad = wanted.join(held, "episode_index", "left").where(F.coalesce("n", F.lit(0)) != F.coalesce("length", F.lit(-1)))
+    return problems(bad, ERROR, "file_range", e, F.format_string("episode %d: %d of %d frames in %s at their range", e, F.coalesce("n", F.lit(0)), F.coalesce("length", F.lit(-1)), "wanted"))
+
+
 def column_checks(spark: SparkSession, root: str, info: L.DatasetInfo, report: Report) -> None:
     """Columns that data files lack, from their footers in parallel."""
     from ..operators.drift import file_schemas
@@ -177,6 +192,10 @@ def validate(spark: SparkSession, root: str, *, strict: bool = True) -> Report:
     if n_frames != info.total_frames:
         add(ERROR, "total_frames", "data", f"{n_frames} frames, total_frames {info.total_frames}")
     checks = frame_checks(d.frames, d.episodes, info.fps, strict).unionByName(chain_checks(d.episodes)).unionByName(task_checks(d.tasks, info.total_tasks))
+    if version == L.V30:
+        files = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
+        located = files.select("episode_index", "index", F.regexp_extract("_metadata.file_path", r"(data/[^/]+/[^/]+)$", 1).alias("path"))
+        checks = checks.unionByName(place_checks(located, d.episodes, info))
     report.add_rows(checks)
     if version == L.V21:
         empty = d.episodes.join(d.stats.select("episode_index").distinct(), "episode_index", "left_anti")
@@ -206,6 +225,29 @@ def video_checks(episodes: DataFrame, info: L.DatasetInfo, base: str) -> DataFra
     return unnamed.unionByName(problems(gone, ERROR, "video", F.col("path"), F.format_string("episode %d: missing or empty %s", e, "path")))
 
 
+def file_diff(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """Columns field, left, right of what differs between the data files of two
+    datasets: their number, and each column's types in them."""
+    from ..operators.drift import file_schemas
+
+    def described(root: str, name: str) -> DataFrame:
+        base = local(root)
+        files = [os.path.join(base, f) for f in data_files(root, load_info(root)) if os.path.exists(os.path.join(base, f))]
+        types = file_schemas(spark, files).groupBy(F.concat(F.lit("column."), "field").alias("field")).agg(F.array_join(F.array_sort(F.collect_set("type")), ", ").alias(name))
+        return types.unionByName(spark.createDataFrame([("files", str(len(files)))], f"field string, {name} string"))
+
+    both = described(left, "left").join(described(right, "right"), "field", "full")
+    return both.where(~F.col("left").eqNullSafe(F.col("right"))).orderBy("field")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Columns path, length and digest of all files: what two runs that should
+    give the same dataset are compared by.  Files are read in parallel."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(local(root))
+    base = os.path.abspath(local(root)).rstrip("/")
+    return files.select(F.expr(f"substring(path, locate('{base}/', path) + {len(base) + 1})").alias("path"), "length", F.sha2("content", 256).alias("digest"))
+
+
 def schema_diff(spark: SparkSession, a: L.DatasetInfo, b: L.DatasetInfo) -> DataFrame:
     """Columns field, left, right of what differs between two datasets."""
     rows = lambda i: [("codebase_version", i.codebase_version), ("fps", str(i.fps)), *[(f"features.{k}", v.canonical()) for k, v in i.features.items()]]

@@ -204,11 +204,12 @@ def missing_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stats_overlay(spark: SparkSession, d: str) -> DataFrame:
-    """Stored statistics, overlaid by new ones of every fourth episode."""
+    """Stored statistics, overlaid by new ones of two features of all frames;
+    some episodes and features have only the one or the other."""
     stored = table(spark, d, "episode_stats").distinct()
-    cols = ["index", "episode_index", "observation.effort"]
-    frames = table(spark, d, "frames").where(F.col("episode_index") % 4 == 0).select(*[F.col(f"`{c}`") for c in cols]).distinct()
-    fresh = A.episode_stats(frames, {"observation.effort": 0})
+    cols = ["index", "episode_index", "observation.effort", "action"]
+    frames = table(spark, d, "frames").where(F.col("episode_index").isNotNull()).select(*[F.col(f"`{c}`") for c in cols]).distinct()
+    fresh = A.episode_stats(frames, {"observation.effort": 0, "action": 1})
     return rounded(A.overlay(stored, fresh).select("episode_index", "feature", "dim", "count", "min", "max", "mean"), 5)
 
 
@@ -379,7 +380,7 @@ SELECT episode_index, min("index") AS "index", round(3.3e-8 + arg_min(delta, "in
     "validate_task_gaps": "SELECT min(i) AS task_index FROM (SELECT unnest(range(0, (SELECT count(*) FROM tasks))) AS i) WHERE i NOT IN (SELECT task_index FROM tasks WHERE task_index % 9 <> 8) HAVING min(i) IS NOT NULL",
     "duplicate_episodes": "SELECT episode_index, count(*) AS n FROM episodes GROUP BY 1 HAVING count(*) > 1",
     "missing_stats": "SELECT * FROM (SELECT DISTINCT episode_index, feature FROM episodes, (SELECT unnest(['observation.state', 'action', 'observation.effort']) AS feature) WHERE deleted_at IS NULL) EXCEPT SELECT episode_index, feature FROM episode_stats",
-    "stats_overlay": _FRAMES + """, n AS (SELECT episode_index, feature, dim, count(x) AS "count", min(x) AS "min", max(x) AS "max", avg(x) AS mean FROM v WHERE feature = 'observation.effort' AND episode_index % 4 = 0 GROUP BY 1, 2, 3),
+    "stats_overlay": _FRAMES + """, n AS (SELECT episode_index, feature, dim, count(x) AS "count", min(x) AS "min", max(x) AS "max", avg(x) AS mean FROM v WHERE feature IN ('observation.effort', 'action') GROUP BY 1, 2, 3),
 o AS (SELECT DISTINCT * FROM episode_stats)
 SELECT episode_index, feature, dim, "count", round(3.3e-8 + "min", 5) + 0.0 AS "min", round(3.3e-8 + "max", 5) + 0.0 AS "max", round(3.3e-8 + mean, 5) + 0.0 AS mean FROM (SELECT episode_index, feature, dim, "count", "min", "max", mean FROM n UNION ALL SELECT episode_index, feature, dim, "count", "min", "max", mean FROM o WHERE (episode_index, feature) NOT IN (SELECT (episode_index, feature) FROM n))""",
     "flatten_unflatten_stats": 'SELECT episode_index, feature, dim, round(3.3e-8 + min("min"), 6) + 0.0 AS "min", round(3.3e-8 + max("max"), 6) + 0.0 AS "max", round(3.3e-8 + sum(mean * "count") / sum("count"), 6) + 0.0 AS mean FROM (SELECT DISTINCT * FROM episode_stats) GROUP BY 1, 2, 3',

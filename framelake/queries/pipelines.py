@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,34 @@ def streaming_flush(spark: SparkSession, d: str) -> DataFrame:
     return staged.select("event_id", "user_id", "frame_index", "local_task", F.round(F.col("timestamp").cast("double"), 4).alias("timestamp"))
 
 
+def stream_to_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Events that arrive as a stream, staged, made a dataset and validated."""
+    shape = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value").schema
+    out, log, root = _place(spark, "staged"), _place(spark, "stream"), _place(spark, "dataset")
+    source = spark.readStream.schema(shape).parquet(glob.escape(local(d)) + "/event[s].parquet")
+    flush.staged(flush.numbered(source, episode="user_id", order="ts", task="event_type", fps=E.FPS), out, log).trigger(availableNow=True).start().awaitTermination()
+    steps = spark.read.parquet(out).withColumn("kind", F.col("event_type")).select("user_id", "frame_index", "event_type", "value", "kind")
+    B.save(B.build(steps, FEATURES, E.FPS, episode="user_id", order=["frame_index"], task="event_type", version="v3.0"), root)
+    report = V.validate(spark, root, strict=True)
+    return spark.createDataFrame([(report.version, report.ok, report.count(V.ERROR), report.count(V.WARNING), report.summary)], "version string, ok boolean, errors int, warnings int, summary string")
+
+
+def faulty_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """A dataset with faults put into every third, fifth and seventh episode and
+    the number of each that validation counts."""
+    made = _built(spark, d, "v3.0")
+    e = F.col("episode_index")
+    late = F.when((e % 3 == 0) & (F.col("frame_index") > 0), F.col("timestamp") + F.lit(0.5)).otherwise(F.col("timestamp"))
+    frames = made.frames.withColumn("timestamp", late.cast("float"))
+    episodes = made.episodes.withColumn("length", F.col("length") + (e % 5 == 0).cast("bigint"))
+    episodes = episodes.withColumn("dataset_to_index", F.col("dataset_to_index") + (e % 7 == 0).cast("bigint"))
+    tasks = made.tasks.withColumn("task_index", F.when(F.col("task_index") > 0, F.col("task_index") + 1).otherwise(F.col("task_index")))
+    root = _place(spark, "dataset")
+    B.save(replace(made, frames=frames, episodes=episodes, tasks=tasks), root)
+    report = V.validate(spark, root, strict=True)
+    return spark.createDataFrame([(s, c, n) for (s, c), n in sorted(report.counts.items())], "severity string, code string, n bigint")
+
+
 def partial_stats(spark: SparkSession, d: str) -> DataFrame:
     """Moments of flushes of 25 frames, made one for each episode again."""
     parts = flush.flush_stats(E.event_frames(spark, d), "value", 25)
@@ -97,11 +126,21 @@ def file_listing(spark: SparkSession, d: str) -> DataFrame:
     return listing(spark, root).select("path", (F.col("length") > 0).alias("filled"))
 
 
-QUERIES = {q.__name__: q for q in (finalize_and_validate, convert_roundtrip, self_merge, streaming_flush, partial_stats, file_footers, file_listing)}
+QUERIES = {q.__name__: q for q in (finalize_and_validate, convert_roundtrip, self_merge, stream_to_dataset, faulty_dataset, streaming_flush, partial_stats, file_footers, file_listing)}
 
 _TOTAL = "(SELECT count(DISTINCT user_id) FROM events) || ' episodes, ' || (SELECT count(*) FROM events) || ' frames, ' || (SELECT count(DISTINCT event_type) FROM events) || ' tasks'"
 SQL = {
     "finalize_and_validate": f"SELECT v AS version, true AS ok, 0 AS errors, 0 AS warnings, v || ': ' || {_TOTAL} AS summary FROM (SELECT unnest(['v2.1', 'v3.0']) AS v)",
+    "faulty_dataset": """
+WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), e AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS e, n FROM n),
+c AS (SELECT 'error' AS severity, 'length' AS code, count(*) FILTER (e % 5 = 0) AS n FROM e
+UNION ALL SELECT 'error', 'file_range', count(*) FILTER (e % 5 = 0) FROM e
+UNION ALL SELECT 'error', 'total_frames', CAST(count(*) FILTER (e % 5 = 0) > 0 AS INT) FROM e
+UNION ALL SELECT 'error', 'episode_chain', count(*) FILTER ((e % 7 = 0) <> (e % 5 = 0) OR (e > 0 AND (e - 1) % 7 = 0)) FROM e
+UNION ALL SELECT 'error', 'task_gap', CAST(count(DISTINCT event_type) > 1 AS INT) FROM events
+UNION ALL SELECT 'warning', 'timestamp_step', count(*) FILTER (e % 3 = 0 AND n > 1) FROM e)
+SELECT severity, code, CAST(n AS BIGINT) AS n FROM c WHERE n > 0""",
+    "stream_to_dataset": f"SELECT 'v3.0' AS version, true AS ok, 0 AS errors, 0 AS warnings, 'v3.0: ' || {_TOTAL} AS summary",
     "convert_roundtrip": E._E + "SELECT \"index\", episode_index, frame_index, task_index, value, event_type AS kind FROM x JOIN t ON coalesce(event_type, '') = task",
     "self_merge": E._E + "SELECT task_index, task, 2 * count(*) AS n_frames, 2 * count(DISTINCT episode_index) AS n_episodes, max(\"index\") + (SELECT count(*) FROM events) AS last_index FROM x JOIN t ON coalesce(event_type, '') = task GROUP BY 1, 2",
     "streaming_flush": E._E + "SELECT event_id, user_id, frame_index, local_index AS local_task, round(CAST(\"timestamp\" AS DOUBLE), 4) AS \"timestamp\" FROM x JOIN q ON x.episode_index = q.episode_index AND coalesce(event_type, '') = q.task",

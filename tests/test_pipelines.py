@@ -135,6 +135,27 @@ def test_schema_diff(spark, both):
     assert [r["field"] for r in V.schema_diff(spark, a, b).collect()] == ["codebase_version", "features.action", "fps"]
 
 
+def test_frames_are_in_the_files_named(spark, tmp_path):
+    root = str(tmp_path / "d")
+    made(spark, root, ("a", 3), ("b", 4), ("c", 2), episodes_per_file=1)
+    assert V.validate(spark, root).ok
+    one, two = (os.path.join(root, f"data/chunk-000/file-00{i}.parquet") for i in (1, 2))
+    os.rename(one, one + ".x")
+    os.rename(two, one)
+    os.rename(one + ".x", two)
+    report = V.validate(spark, root)
+    assert {(c, n) for (_, c), n in report.counts.items()} == {("file_range", 2)} and not report.ok
+    other = str(tmp_path / "e")
+    made(spark, other, ("a", 3), ("b", 6))
+    assert [tuple(r) for r in V.file_diff(spark, root, other).collect()] == [("files", "3", "1")]
+    first = {r["path"]: r["digest"] for r in V.manifest(spark, root).collect()}
+    os.rename(one, one + ".x")
+    os.rename(two, one)
+    os.rename(one + ".x", two)
+    second = {r["path"]: r["digest"] for r in V.manifest(spark, root).collect()}
+    assert first.keys() == second.keys() and {k for k in first if first[k] != second[k]} == {"data/chunk-000/file-001.parquet", "data/chunk-000/file-002.parquet"}
+
+
 def test_files(spark, both):
     root = str(both / "v3.0")
     assert {r["path"] for r in listing(spark, root).collect()} >= {"meta/info.json", "data/chunk-000/file-000.parquet"}
