@@ -8,15 +8,18 @@ that need it say so, and all planning still works.
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import struct
 import subprocess
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.images import decode_png
 from .files import local
 
 #: Tolerances of time stamps, rate and duration.
@@ -67,12 +70,70 @@ def _child(data: bytes, start: int, end: int, path: str) -> tuple[int, int] | No
     return start, end
 
 
+def read_moov(path: str) -> bytes:
+    """The index of an MP4 file as a whole box; what it indexes is not read."""
+    with open(path, "rb") as f:
+        end = os.fstat(f.fileno()).st_size
+        at = 0
+        while at + 8 <= end:
+            f.seek(at)
+            head = f.read(16)
+            size, kind, skip = struct.unpack(">I", head[:4])[0], head[4:8], 8
+            if size == 1:
+                size, skip = struct.unpack(">Q", head[8:16])[0], 16
+            elif size == 0:
+                size = end - at
+            if size < skip:
+                break
+            if kind == b"moov":
+                f.seek(at)
+                return f.read(min(size, end - at))
+            at += size
+    raise MediaError("no moov box")
+
+
+def _full(data: bytes, at: tuple[int, int] | None, fmt: str) -> np.ndarray:
+    """The entries of a table with a count, as rows of numbers."""
+    if at is None:
+        return np.zeros((0, len(fmt)), np.int64)
+    n = struct.unpack(">I", data[at[0] + 4 : at[0] + 8])[0]
+    kind = np.dtype([(f"c{i}", f">{c}") for i, c in enumerate(fmt)])
+    rows = np.frombuffer(data, kind, min(n, (at[1] - at[0] - 8) // kind.itemsize), at[0] + 8)
+    return np.stack([rows[c].astype(np.int64) for c in kind.names], axis=1)
+
+
+def _edit(data: bytes, track: tuple[int, int], scale: int, movie_scale: int) -> tuple[float, float]:
+    """Seconds that the track's edit list puts before it, and media time, in
+    seconds, at which it begins."""
+    box = _child(data, *track, "edts/elst")
+    if box is None:
+        return 0.0, 0.0
+    rows = _full(data, box, "QqI" if data[box[0]] == 1 else "IiI")
+    delay = 0.0
+    for duration, media_time, _ in rows:
+        if media_time >= 0:
+            return delay, media_time / scale
+        delay += duration / movie_scale
+    return delay, 0.0
+
+
+def _audio(data: bytes, moov: tuple[int, int]) -> bool:
+    return any(k == b"trak" and (h := _child(data, s, e, "mdia/hdlr")) and data[h[0] + 8 : h[0] + 12] == b"soun" for k, s, e in _boxes(data, *moov))
+
+
 def probe_mp4(data: bytes) -> dict:
-    """width, height, codec, timescale, frames, duration and pts of the first
-    video track."""
+    """width, height, codec, channels, depth, has_audio, timescale, frames,
+    duration and pts (in the order of showing) of the first video track.
+
+    Time stamps are those that a player shows: decoding times, moved by the
+    composition offsets of frames that are stored in another order and by the
+    edit list.
+    """
     moov = _child(data, 0, len(data), "moov")
     if moov is None:
         raise MediaError("no moov box")
+    header = _child(data, *moov, "mvhd")
+    movie_scale = struct.unpack(">I", data[header[0] + (20 if data[header[0]] == 1 else 12) :][:4])[0] if header else 1
     for kind, s, e in _boxes(data, *moov):
         if kind != b"trak":
             continue
@@ -86,20 +147,32 @@ def probe_mp4(data: bytes) -> dict:
         entry = _child(data, *table, "stsd")[0] + 8
         codec = data[entry + 4 : entry + 8].decode("latin-1")
         width, height = struct.unpack(">HH", data[entry + 32 : entry + 36])
-        times = _child(data, *table, "stts")[0]
-        n = struct.unpack(">I", data[times + 4 : times + 8])[0]
-        deltas: list[int] = []
-        for i in range(n):
-            count, delta = struct.unpack(">II", data[times + 8 + 8 * i : times + 16 + 8 * i])
-            deltas += [delta] * count
-        pts, at = [], 0
-        for d in deltas:
-            pts.append(at / scale)
-            at += d
-        return {"width": width, "height": height, "codec": codec, "timescale": scale, "frames": len(deltas), "duration": at / scale, "pts": pts}
+        depth = struct.unpack(">H", data[entry + 82 : entry + 84])[0] if len(data) >= entry + 84 else 24
+        times = _full(data, _child(data, *table, "stts"), "II")
+        deltas = np.repeat(times[:, 1], times[:, 0])
+        shown = np.concatenate([[0], np.cumsum(deltas)])
+        length, shown = shown[-1] / scale, shown[:-1]
+        offsets = _child(data, *table, "ctts")
+        if offsets is not None:
+            rows = _full(data, offsets, "Ii" if data[offsets[0]] == 1 else "II")
+            moved = np.repeat(rows[:, 1], rows[:, 0])[: len(shown)]
+            shown = shown + np.pad(moved, (0, len(shown) - len(moved)))
+        delay, begins = _edit(data, (s, e), scale, movie_scale)
+        pts = np.sort(shown) / scale - begins + delay
+        return {
+            "width": width, "height": height, "codec": codec, "channels": 1 if depth in (33, 34, 36, 40) else 4 if depth == 32 else 3, "depth": depth, "has_audio": _audio(data, moov),
+            "timescale": scale, "frames": len(shown), "duration": length, "pts": pts.tolist(),
+        }
     raise MediaError("no video track")
 
 
+def feature_info(path: str, fps: int) -> dict:
+    """What a video feature's ``info`` says of its videos, from one of them."""
+    m = probe_mp4(read_moov(local(path)))
+    codec = {"avc1": "h264", "hev1": "hevc", "hvc1": "hevc", "av01": "av1", "mp4v": "mpeg4"}.get(m["codec"], m["codec"])
+    return {"video.height": m["height"], "video.width": m["width"], "video.codec": codec, "video.channels": m["channels"], "video.fps": fps, "video.is_depth_map": False, "has_audio": m["has_audio"]}
+
+
 def probe(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One row per video: path, width, height, codec, frames, duration, fps,
     pts_error (largest distance from a frame's due time) or error."""
@@ -113,8 +186,7 @@ def probe(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             rows = []
             for p in b.column(0).to_pylist():
                 try:
-                    with open(local(p), "rb") as f:
-                        m = probe_mp4(f.read())
+                    m = probe_mp4(read_moov(local(p)))
                     fps = m["frames"] / m["duration"] if m["duration"] else 0.0
                     late = max((abs(t - i / fps) for i, t in enumerate(m["pts"])), default=0.0) if fps else 0.0
                     rows.append((p, m["width"], m["height"], m["codec"], m["frames"], m["duration"], fps, late, None))
@@ -146,6 +218,59 @@ def _run(args: list[str]) -> None:
         raise MediaError(done.stderr[-500:])
 
 
+#: Messages of the decoder that say nothing about the video.
+BENIGN = ("deprecated pixel format used", "Application provided invalid, non monotonically increasing dts to muxer")
+
+
+def decode_warnings(text: str) -> list[str]:
+    """The lines of the decoder's messages that may mean a fault."""
+    return [line for line in map(str.strip, text.splitlines()) if line and not any(b in line for b in BENIGN)]
+
+
+_majors: dict[str, int] = {}
+
+
+def major_version(program: str) -> int:
+    """The first number of the program's version; 0 if it says none."""
+    if program not in _majors:
+        said = subprocess.run([program, "-version"], capture_output=True, text=True).stdout  # noqa: S603
+        found = re.match(r"\w+ version n?(\d+)", said)
+        _majors[program] = int(found.group(1)) if found else 0
+    return _majors[program]
+
+
+def passthrough_rate(program: str) -> list[str]:
+    """Options that keep every frame; their name changed with version 5."""
+    return ["-fps_mode", "passthrough"] if major_version(program) >= 5 else ["-vsync", "passthrough"]
+
+
+def remux_h264(stream: str, out: str, fps: int, frames: int, program: str | None = None) -> None:
+    """A raw H.264 stream as a video without encoding it again; it must hold as
+    many frames as the episode."""
+    os.makedirs(os.path.dirname(out) or ".", exist_ok=True)
+    _run([find_program(explicit=program), "-y", "-r", str(fps), "-f", "h264", "-i", stream, "-c", "copy", "-movflags", "+faststart", out])
+    held = probe_mp4(read_moov(out))["frames"]
+    if held != frames:
+        os.remove(out)
+        raise MediaError(f"{held} frames in the stream, {frames} in the episode")
+
+
+def encode_images(folder: str, out: str, fps: int, program: str | None = None) -> int:
+    """The frames ``frame-*.png`` of a folder, by name, as a video; their number."""
+    names = sorted(n for n in os.listdir(folder) if n.startswith("frame-") and n.endswith(".png"))
+    if not names:
+        raise MediaError(f"no frames in {folder}")
+
+    def pixels() -> Iterator[bytes]:
+        for n in names:
+            with open(os.path.join(folder, n), "rb") as f:
+                yield decode_png(f.read())[:, :, :3].tobytes()
+
+    with open(os.path.join(folder, names[0]), "rb") as f:
+        height, width = decode_png(f.read()).shape[:2]
+    return encode_rgb(pixels(), width, height, fps, out, program)
+
+
 def encode_rgb(frames: Iterator[bytes], width: int, height: int, fps: int, out: str, program: str | None = None) -> int:
     """RGB24 frames to a video; gives the number of frames."""
     size, n = width * height * 3, 0
@@ -175,10 +300,11 @@ def concatenate(inputs: Sequence[str], out: str, fps: int, program: str | None =
     try:
         base = [tool, "-y", "-f", "concat", "-safe", "0", "-i", names]
         _run([*base, "-c", "copy", out])
-        with open(out, "rb") as f:
-            made = probe_mp4(f.read())
+        made = probe_mp4(read_moov(out))
         if any(abs(t - i / fps) > PTS_TOLERANCE for i, t in enumerate(made["pts"])):
-            _run([*base, "-r", str(fps), *ENCODE, out])
+            # no frames out of order, evenly spaced on a scale that frames divide
+            even = ["-bf", "0", "-vf", f"setpts=N/({fps}*TB)", "-video_track_timescale", str(fps * 512)]
+            _run([*base, *passthrough_rate(tool), *ENCODE, *even, out])
     finally:
         os.remove(names)
 

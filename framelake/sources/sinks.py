@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import replace
@@ -206,6 +207,22 @@ def data_paths(frames: DataFrame, episodes: DataFrame, info: L.DatasetInfo) -> D
     return frames.join(small(place), "episode_index")
 
 
+def with_video_info(info: L.DatasetInfo, root: str) -> L.DatasetInfo:
+    """Video features that say nothing of their videos get it from the first."""
+    from .media import MediaError, feature_info
+
+    features = dict(info.features)
+    for key in keys_of(features, "video"):
+        if features[key].info:
+            continue
+        first = os.path.join(local(root), L.fill(info.video_path, video_key=key, episode_chunk=0, episode_index=0, chunk_index=0, file_index=0))
+        try:
+            features[key] = replace(features[key], info=feature_info(first, info.fps))
+        except (OSError, MediaError, struct.error, IndexError, TypeError):
+            continue  # an unreadable video is validation's to report
+    return replace(info, features=features)
+
+
 def write_dataset(dataset: Dataset, root: str) -> Dataset:
     """All files of a dataset, info.json last; gives the dataset as written.
 
@@ -230,6 +247,7 @@ def write_dataset(dataset: Dataset, root: str) -> Dataset:
         if lacking is not None:
             raise ValueError(f"episode {lacking[0]}: no video of {lacking[1]}")
         written.episodes, written.videos = place(written.videos, written.episodes, info, root)
+        info = written.info = with_video_info(info, root)
     stats = written.long_stats()
     if stats is not None:
         stats = materialize(sanitise_stats(stats))

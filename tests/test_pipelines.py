@@ -193,13 +193,14 @@ def _box(kind, body):
     return (len(body) + 8).to_bytes(4, "big") + kind + body
 
 
-def _mp4(frames, scale, delta, width=64, height=48):
+def _mp4(frames, scale, delta, width=64, height=48, offsets=(), begins=0):
     u32 = lambda *v: b"".join(x.to_bytes(4, "big") for x in v)
     entry = b"\0" * 24 + width.to_bytes(2, "big") + height.to_bytes(2, "big") + b"\0" * 50
     stsd = _box(b"stsd", u32(0, 1) + _box(b"avc1", entry))
     stts = _box(b"stts", u32(0, 1, frames, delta))
-    mdia = _box(b"mdia", _box(b"mdhd", u32(0, 0, 0, scale, frames * delta, 0)) + _box(b"hdlr", u32(0, 0) + b"vide" + b"\0" * 12) + _box(b"minf", _box(b"stbl", stsd + stts)))
-    return _box(b"ftyp", b"isom") + _box(b"moov", _box(b"trak", mdia))
+    mdia = _box(b"mdia", _box(b"mdhd", u32(0, 0, 0, scale, frames * delta, 0)) + _box(b"hdlr", u32(0, 0) + b"vide" + b"\0" * 12) + _box(b"minf", _box(b"stbl", stsd + stts + (_box(b"ctts", u32(0, len(offsets), *[x for o in offsets for x in (1, o)])) if offsets else b""))))
+    edit = _box(b"edts", _box(b"elst", u32(0, 1, frames * delta, begins, 1 << 16))) if begins else b""
+    return _box(b"ftyp", b"isom") + _box(b"mdat", b"x" * 1000) + _box(b"moov", _box(b"trak", edit + mdia))
 
 
 def test_media(spark, tmp_path):
@@ -219,6 +220,25 @@ def test_media(spark, tmp_path):
             media.concatenate([str(good), str(good)], str(tmp_path / "x/two.mp4"), 10)
 
 
+def test_frames_stored_in_another_order(tmp_path):
+    """Frames I P B B: shown 0 3 1 2, two frames late, which the edit list takes back."""
+    path = tmp_path / "b.mp4"
+    path.write_bytes(_mp4(4, 10 * 512, 512, offsets=(1024, 2048, 512, 512), begins=1024))
+    m = media.probe_mp4(media.read_moov(str(path)))
+    assert [round(t, 9) for t in m["pts"]] == [0.0, 0.1, 0.2, 0.3] and m["duration"] == 0.4 and not m["has_audio"]
+    assert media.feature_info(str(path), 10)["video.codec"] == "h264"
+    assert [t > 0.05 for t in media.probe_mp4(_mp4(4, 10 * 512, 512, offsets=(1024, 2048, 512, 512)))["pts"]] == [True] * 4
+    with pytest.raises(media.MediaError):
+        media.read_moov(__file__)
+    assert media.decode_warnings("\n deprecated pixel format used, x\n bad frame \n") == ["bad frame"]
+    tool = tmp_path / "tool"
+    for said, want in (("ffmpeg version n6.1", "-fps_mode"), ("ffmpeg version 4.4.2", "-vsync"), ("?", "-vsync")):
+        tool.write_text(f"#!/bin/sh\necho '{said}'\n")
+        tool.chmod(0o755)
+        media._majors.clear()
+        assert media.passthrough_rate(str(tool))[0] == want
+
+
 def test_videos_are_placed(spark, tmp_path):
     features = {"action": FEATURES["action"], "top": FeatureSpec("video", (48, 64, 3))}
     rows = []
