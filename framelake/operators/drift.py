@@ -268,6 +268,11 @@ def file_schemas(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Types are Spark's; a field that Spark has no type for is a string.
     """
     listed = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "ordinal bigint, path string").repartition(max(1, min(len(paths), 1000)))
+    return footer_fields(listed)
+
+
+def footer_fields(listed: DataFrame) -> DataFrame:
+    """Columns path, ordinal, field, type of the files of a table (ordinal, path)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq

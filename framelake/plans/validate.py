@@ -21,7 +21,7 @@ from ..functions.features import DEFAULT_FEATURES, data_columns, keys_of
 from ..operators import indexing as X
 from ..operators import tasks as T
 from ..sources.dataset import data_files, load_info, read_dataset
-from ..sources.files import local
+from ..sources.files import listing, local
 
 ERROR, WARNING = "error", "warning"
 #: A check shows so many problems, errors first; the counts are of all.
@@ -120,19 +120,37 @@ def place_checks(frames: DataFrame, episodes: DataFrame, info: L.DatasetInfo) ->
     return problems(bad, ERROR, "file_range", e, F.format_string("episode %d: %d of %d frames in %s at their range", e, F.coalesce("n", F.lit(0)), F.coalesce("length", F.lit(-1)), "wanted"))
 
 
+def file_checks(spark: SparkSession, root: str, info: L.DatasetInfo) -> tuple[DataFrame, DataFrame]:
+    """Problems of the data files, and the paths that are there.
+
+    v2.1 names one file for each episode; the names are made and compared with
+    the listing in parallel.
+    """
+    there = listing(spark, f"{local(root).rstrip('/')}/data").select(F.concat(F.lit("data/"), "path").alias("path")).where(F.col("path").endswith(".parquet"))
+    if L.parse_version(info.codebase_version) == L.V21:
+        e = F.col("id")
+        template = info.data_path if "{" in info.data_path else L.DATA_PATH[L.V21]
+        wanted = spark.range(info.total_episodes).select(L.path_column(template, episode_chunk=L.chunk_of(e, info.chunks_size), episode_index=e).alias("path"))
+        gone = wanted.join(there, "path", "left_anti")
+        there = there.join(wanted, "path", "left_semi")
+    else:
+        there = there.where(F.col("path").rlike(r"^data/chunk-[^/]*/file-[^/]*\.parquet$"))
+        gone = there.limit(0)
+    return problems(gone, ERROR, "missing_file", F.col("path"), F.format_string("missing %s", "path")), there
+
+
 def column_checks(spark: SparkSession, root: str, info: L.DatasetInfo, report: Report) -> None:
     """Columns that data files lack, from their footers in parallel."""
-    from ..operators.drift import file_schemas
+    from ..operators.drift import footer_fields
 
-    files = data_files(root, info)
-    there = [f for f in files if os.path.exists(os.path.join(local(root), f))]
-    report.add_all((ERROR, "missing_file", f, f"missing {f}") for f in sorted(set(files) - set(there)))
-    if there:
-        wanted = F.array(*[F.lit(c) for c in sorted({*data_columns(info.features), *DEFAULT_FEATURES})])
-        base = local(root)
-        have = file_schemas(spark, [os.path.join(base, f) for f in there]).groupBy("path").agg(F.collect_set("field").alias("have"))
-        lacking = have.select(F.substring("path", len(base.rstrip("/")) + 2, 1 << 30).alias("path"), F.explode(F.array_except(wanted, "have")).alias("field"))
-        report.add_rows(problems(lacking, ERROR, "missing_column", F.col("path"), F.format_string("%s: no column %s", "path", "field")))
+    missing, there = file_checks(spark, root, info)
+    report.add_rows(missing)
+    wanted = F.array(*[F.lit(c) for c in sorted({*data_columns(info.features), *DEFAULT_FEATURES})])
+    base = local(root).rstrip("/")
+    full = there.select(F.monotonically_increasing_id().alias("ordinal"), F.concat(F.lit(f"{base}/"), "path").alias("path"))
+    have = footer_fields(full.repartition(spark.sparkContext.defaultParallelism)).groupBy("path").agg(F.collect_set("field").alias("have"))
+    lacking = have.select(F.substring("path", len(base) + 2, 1 << 30).alias("path"), F.explode(F.array_except(wanted, "have")).alias("field"))
+    report.add_rows(problems(lacking, ERROR, "missing_column", F.col("path"), F.format_string("%s: no column %s", "path", "field")))
 
 
 def validate(spark: SparkSession, root: str, *, strict: bool = True) -> Report:
@@ -177,7 +195,10 @@ def validate(spark: SparkSession, root: str, *, strict: bool = True) -> Report:
                 add(ERROR, "stats_coverage", k, f"{L.STATS}: no statistics of {k}")
     if info.splits.get("train") != f"0:{info.total_episodes}":
         add(ERROR, "splits", L.INFO, f"splits.train is {info.splits.get('train')!r}")
-    column_checks(spark, root, info, report)
+    if os.path.isdir(os.path.join(base, "data")):
+        column_checks(spark, root, info, report)
+    elif info.total_episodes:
+        add(ERROR, "missing_file", "data", "missing data/")
     if any(report.counts[ERROR, c] for c in ("missing_file", "missing_column")):
         return report
     d = read_dataset(spark, root)
@@ -218,8 +239,10 @@ def video_checks(episodes: DataFrame, info: L.DatasetInfo, base: str) -> DataFra
             at = [F.col(f"`{c}`").cast("bigint") if c in episodes.columns else F.lit(None).cast("bigint") for c in (f"videos/{key}/chunk_index", f"videos/{key}/file_index")]
             path = F.when((at[0] >= 0) & (at[1] >= 0), L.path_column(L.VIDEO_PATH[L.V30], video_key=F.lit(key), chunk_index=at[0], file_index=at[1]))
         wanted = wanted.unionByName(episodes.select(e, F.lit(key).alias("camera"), path.alias("path")))
-    there = [(os.path.relpath(os.path.join(at, n), base),) for at, _, names in os.walk(os.path.join(base, "videos")) for n in names if os.path.getsize(os.path.join(at, n))]
-    files = episodes.sparkSession.createDataFrame(there, "path string")
+    spark = episodes.sparkSession
+    at = os.path.join(base, "videos")
+    has = os.path.isdir(at) and any(names for _, _, names in os.walk(at))
+    files = listing(spark, at).where(F.col("length") > 0).select(F.concat(F.lit("videos/"), "path").alias("path")) if has else spark.createDataFrame([], "path string")
     unnamed = problems(wanted.where(F.col("path").isNull()), WARNING, "video_meta", e, F.format_string("episode %d: no video metadata of %s", e, "camera"))
     gone = wanted.where(F.col("path").isNotNull()).join(files, "path", "left_anti")
     return unnamed.unionByName(problems(gone, ERROR, "video", F.col("path"), F.format_string("episode %d: missing or empty %s", e, "path")))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import layout as L
 from ..functions.features import DEFAULT_FEATURES, FeatureError, Features, arrow_type, keys_of, spark_type
 from ..operators.indexing import dense_index, small
+from ..sources import media
 from ..sources.dataset import Dataset
 from ..sources.files import local
 from . import build as B
@@ -42,7 +43,8 @@ class EpisodeWriter:
     """Stages one episode: frames are checked, held up to ``flush_frames`` and
     written; ``save`` writes the manifest and so completes the episode."""
 
-    def __init__(self, staging: str, episode: int, features: Features, *, flush_frames: int = FLUSH_FRAMES) -> None:
+    def __init__(self, staging: str, episode: int, features: Features, *, fps: int = 0, flush_frames: int = FLUSH_FRAMES, program: str | None = None) -> None:
+        self.fps, self.program, self.sizes = fps, program, {}
         self.features = {k: v for k, v in features.items() if k not in DEFAULT_FEATURES and v.dtype != "video"}
         self.cameras = keys_of(features, "video")
         self.at, self.episode, self.flush_frames = staging_dir(staging, episode), episode, max(1, flush_frames)
@@ -82,19 +84,51 @@ class EpisodeWriter:
         if len(self.rows) >= self.flush_frames:
             self._flush()
 
+    def add_rgb(self, camera: str, data: bytes, width: int, height: int) -> None:
+        """A frame of a camera as RGB24; all of a camera are of one size.  They
+        wait on disk and are encoded when the episode is saved."""
+        if camera not in self.cameras:
+            raise FeatureError(f"unknown camera {camera}")
+        if len(data) != width * height * 3 or self.sizes.setdefault(camera, (width, height)) != (width, height):
+            raise FeatureError(f"{camera}: {len(data)} bytes are no frame of {width} x {height}")
+        with open(self._raw(camera), "ab") as f:
+            f.write(data)
+
+    def _raw(self, camera: str) -> str:
+        return os.path.join(self.at, "".join(c if c.isalnum() else "_" for c in camera) + ".rgb")
+
+    def _encoded(self, camera: str) -> str:
+        """The video of a camera's frames, which must be those of the episode."""
+        (width, height), raw = self.sizes[camera], self._raw(camera)
+        size = width * height * 3
+        if os.path.getsize(raw) != size * self.frames:
+            raise ValueError(f"{camera}: {os.path.getsize(raw) // size} frames of {self.frames}")
+        with open(raw, "rb") as f:
+            media.encode_rgb(iter(lambda: f.read(size), b""), width, height, self.fps, raw + ".mp4", self.program)
+        os.remove(raw)
+        return os.path.basename(raw + ".mp4")
+
     def _flush(self) -> None:
         if self.rows:
             pq.write_table(pa.Table.from_pylist(self.rows, schema=self.schema), os.path.join(self.at, f"frames-{self.files:05d}.parquet"))
             self.rows, self.files = [], self.files + 1
 
-    def save(self, videos: Mapping[str, str] | None = None) -> dict:
-        """Completes the episode; every camera needs a video that is not empty."""
+    def save(self, videos: Mapping[str, str] | None = None, streams: Mapping[str, str] | None = None) -> dict:
+        """Completes the episode; every camera needs a video that is not empty:
+        one that is given, a raw H.264 stream, or the frames that were added."""
         if not self.frames:
             raise ValueError("no frames in the episode")
         videos = dict(videos or {})
+        for camera, stream in (streams or {}).items():
+            made = self._raw(camera).removesuffix(".rgb") + ".mp4"
+            media.remux_h264(local(stream), made, self.fps, self.frames, self.program)
+            videos[camera] = os.path.basename(made)
+        for camera in self.sizes.keys() - videos.keys():
+            videos[camera] = self._encoded(camera)
         for camera in self.cameras:
             path = videos.get(camera)
-            if path is None or not os.path.exists(local(path)) or not os.path.getsize(local(path)):
+            full = path and os.path.join(self.at, local(path))
+            if not full or not os.path.exists(full) or not os.path.getsize(full):
                 raise ValueError(f"episode {self.episode}: no video of {camera}")
         self._flush()
         manifest = {"episode_index": self.episode, "length": self.frames, "tasks": self.tasks, "frames_parquet": "frames-*.parquet", "videos": videos}
@@ -123,14 +157,19 @@ class DatasetWriter:
 
     def add_frame(self, frame: Mapping[str, Any]) -> None:
         if self.open is None:
-            self.open = EpisodeWriter(self.staging, self.episodes, self.features, flush_frames=self.flush_frames)
+            self.open = EpisodeWriter(self.staging, self.episodes, self.features, fps=self.fps, flush_frames=self.flush_frames)
         self.open.add_frame(frame)
 
-    def save_episode(self, videos: Mapping[str, str] | None = None) -> int:
+    def add_rgb(self, camera: str, data: bytes, width: int, height: int) -> None:
+        if self.open is None:
+            raise ValueError("a frame comes before its pictures")
+        self.open.add_rgb(camera, data, width, height)
+
+    def save_episode(self, videos: Mapping[str, str] | None = None, streams: Mapping[str, str] | None = None) -> int:
         """Gives the number of the saved episode."""
         if self.open is None:
             raise ValueError("no frames in the episode")
-        self.open.save(videos)
+        self.open.save(videos, streams)
         self.open, self.episodes = None, self.episodes + 1
         return self.episodes - 1
 

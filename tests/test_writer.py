@@ -12,8 +12,10 @@ from framelake.functions.features import FeatureError, FeatureSpec, owned_featur
 from framelake.plans import build as B
 from framelake.plans import validate as V
 from framelake.plans import writer as W
+from framelake.sources import media
 from framelake.sources.dataset import read_dataset
 from tests.test_image_stats_written import _png
+from tests.test_pipelines import _mp4
 
 FEATURES = {"state": FeatureSpec("float32", (2,)), "grip": FeatureSpec("int64", (1,)), "cam": FeatureSpec("image", (4, 4, 3))}
 
@@ -113,3 +115,27 @@ def test_modes_and_strict_union(spark, capsys):
     with pytest.raises(ValueError, match="schemas differ"):
         B._union([left, left.select(F.col("id").cast("int").alias("id"))])
     assert cli.main(["completion"]) == 0 and "complete -F" in capsys.readouterr().out
+
+
+def test_cameras(tmp_path):
+    """Frames and streams of cameras, with a program that gives a ready video."""
+    ready, tool = tmp_path / "ready.mp4", tmp_path / "tool"
+    ready.write_bytes(_mp4(2, 10 * 512, 512))
+    tool.write_text(f'#!/bin/sh\nfor last; do :; done\ncat > /dev/null\ncp {ready} "$last"\n')
+    tool.chmod(0o755)
+    features = {"grip": FEATURES["grip"], "top": FeatureSpec("video", (2, 3, 3)), "side": FeatureSpec("video", (2, 3, 3))}
+    w = W.EpisodeWriter(str(tmp_path / "s"), 0, features, fps=10, program=str(tool))
+    for bad in (("other", b"x" * 18, 3, 2), ("top", b"x" * 17, 3, 2)):
+        with pytest.raises(FeatureError):
+            w.add_rgb(*bad)
+    for i in range(2):
+        w.add_frame({"grip": i})
+        w.add_rgb("top", bytes(18), 3, 2)
+    with pytest.raises(ValueError, match="no video of side"):
+        w.save()
+    assert w.save(videos={"top": "top.rgb.mp4"}, streams={"side": str(ready)})["videos"] == {"top": "top.rgb.mp4", "side": "side.mp4"}
+    w = W.EpisodeWriter(str(tmp_path / "s"), 1, features, fps=10, program=str(tool))
+    w.add_frame({"grip": 1})
+    w.add_rgb("top", bytes(18), 3, 2)
+    with pytest.raises(media.MediaError, match="2 frames in the stream, 1 in the episode"):
+        w.save(streams={"side": str(ready)})
