@@ -52,7 +52,8 @@ def test_counts_are_of_all(spark, whole, tmp_path, monkeypatch):
     monkeypatch.setattr(V, "SHOWN", 2)
     report = V.validate(spark, _changed(whole, str(tmp_path / "gaps"), lambda t: t.filter([i % 4 != 1 for i in range(len(t))])))
     assert report.counts["error", "index_gap"] == 3 and report.counts["error", "length"] == 3
-    assert len([p for p in report.problems if p[1] in ("index_gap", "length")]) == 2
+    assert report.counts["error", "file_range"] == 3
+    assert len([p for p in report.problems if p[1] in ("file_range", "index_gap", "length")]) == 2
     report = V.validate(spark, _changed(whole, str(tmp_path / "columns"), lambda t: t.drop(["action", "timestamp", "index"])))
     assert report.counts == {("error", "missing_column"): 3} and len(report.errors) == 2
     assert report.errors[0] == "data/chunk-000/file-000.parquet: no column action"
