@@ -8,16 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import frame_time
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, materialize
 
 #: Rows of one block of a two-level running sum.
 BLOCK = 4096
 
 
+def ranked(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Adds the place of each row, from 0, in a total order of all rows.
+
+    Rows are range-partitioned by the order and kept, so that a place is that in
+    the partition and the sizes of the partitions before: no task sees all rows.
+    """
+    cols = [F.col(c) for c in order]
+    kept = materialize(rows.repartitionByRange(*cols)).withColumn("__p", F.spark_partition_id())
+    sizes = kept.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # one row for each partition
+    placed = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*cols)) - 1)
+    return placed.join(F.broadcast(before), "__p").withColumn(name, (F.col("__before") + F.col("__k")).cast("bigint")).drop("__p", "__k", "__before")
+
+
 def dense_index(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Number the distinct values of ``key`` from 0 in their order."""
-    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
-    return keys.withColumn(name, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint"))
+    return ranked(rows.select(key).where(F.col(key).isNotNull()).distinct(), [f"`{key}`"], name)
 
 
 def frame_index(frames: DataFrame, episode: str, order: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indexing import small
+from .indexing import ranked, small
 
 
 def episode_tasks(frames: DataFrame, task: str = "task") -> DataFrame:
@@ -20,8 +20,7 @@ def task_dictionary(tasks_of_episodes: DataFrame) -> DataFrame:
     """Columns task_index, task: all tasks by first episode, then by their
     place in it, from 0."""
     first = tasks_of_episodes.groupBy("task").agg(F.min(F.struct("episode_index", "local_index")).alias("seen"))
-    w = Window.orderBy("seen")  # one row per distinct task
-    return first.select((F.row_number().over(w) - 1).cast("bigint").alias("task_index"), "task")
+    return ranked(first, ["seen.episode_index", "seen.local_index"], "task_index").select("task_index", "task")
 
 
 def encode_tasks(frames: DataFrame, dictionary: DataFrame, task: str = "task") -> DataFrame:
@@ -46,7 +45,7 @@ def union_dictionary(sources: DataFrame) -> DataFrame:
     the datasets, then of their own numbers.  Gives task_index, task.
     """
     first = sources.groupBy("task").agg(F.min(F.struct("source", "task_index")).alias("seen"))
-    return first.select((F.row_number().over(Window.orderBy("seen")) - 1).cast("bigint").alias("task_index"), "task")
+    return ranked(first, ["seen.source", "seen.task_index", "task"], "task_index").select("task_index", "task")
 
 
 def remap_sources(frames: DataFrame, sources: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -139,6 +139,15 @@ def test_indices(spark):
     assert X.timestamp_steps(f, 10).count() == 0 and X.timestamp_steps(f, 20).count() == 2
 
 
+def test_ranked_over_partitions(spark):
+    import random
+
+    keys = random.Random(4).sample(range(10**6), 3000)
+    got = X.ranked(spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(7), ["k"], "place").collect()
+    assert {r["k"]: r["place"] for r in got} == {k: i for i, k in enumerate(sorted(keys))}
+    assert X.ranked(spark.range(0), ["id"], "place").count() == 0
+
+
 def test_running_sum_in_blocks(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 7)
     got = {r["id"]: r["s"] for r in X.running_sum(df, "id", "v", "s", block=64).collect()}
