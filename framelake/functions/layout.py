@@ -48,11 +48,6 @@ def fill(template: str, **values: object) -> str:
     return re.sub(r"\{(\w+)(?::0?(\d+)d)?\}", put, template)
 
 
-def next_place(chunk: int, file: int, chunks_size: int) -> tuple[int, int]:
-    """The place after a file: a chunk has ``chunks_size`` files."""
-    return (chunk + 1, 0) if file >= chunks_size - 1 else (chunk, file + 1)
-
-
 def chunk_of(ordinal: Column, chunks_size: int = CHUNKS_SIZE) -> Column:
     return F.floor(ordinal / F.lit(chunks_size if chunks_size > 0 else CHUNKS_SIZE)).cast("bigint")
 

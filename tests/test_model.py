@@ -50,7 +50,6 @@ def test_config_checks():
 
 
 def test_layout():
-    assert L.next_place(0, 999, 1000) == (1, 0) and L.next_place(0, 0, 1000) == (0, 1)
     assert L.fill(L.DATA_PATH["v3.0"], chunk_index=1, file_index=2) == "data/chunk-001/file-002.parquet"
     assert L.fill(L.DATA_PATH["v2.1"], episode_chunk=1, episode_index=1000) == "data/chunk-001/episode_001000.parquet"
     assert L.fill("{name}/{n:03d}/{other}", name="a", n=1234) == "a/1234/{other}"

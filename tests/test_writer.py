@@ -134,6 +134,9 @@ def test_cameras(tmp_path):
     with pytest.raises(ValueError, match="no video of side"):
         w.save()
     assert w.save(videos={"top": "top.rgb.mp4"}, streams={"side": str(ready)})["videos"] == {"top": "top.rgb.mp4", "side": "side.mp4"}
+    for i in range(2):
+        (tmp_path / f"frame-{i}.png").write_bytes(_png((i, 0, 0)))
+    assert media.encode_images(str(tmp_path), str(tmp_path / "made.mp4"), 10, str(tool)) == 2
     w = W.EpisodeWriter(str(tmp_path / "s"), 1, features, fps=10, program=str(tool))
     w.add_frame({"grip": 1})
     w.add_rgb("top", bytes(18), 3, 2)
